@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gradus.llm import byte_bpe, dac, packing
+from gradus.llm import byte_bpe, dac, hamming, packing, secret_scan, topk
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -24,9 +24,29 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), WORDS)
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.threshold_search(_read(spark, sf_dir, "embeddings"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_read(spark, sf_dir, "documents"))
+
+
 def op8_dac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.stream(_read(spark, sf_dir, "documents"), WORDS)
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_packing": op2_packing, "op8_dac": op8_dac}
-ORACLES: dict[str, str] = {}
+def op10_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.hamming_search(_read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_packing": op2_packing, "op4_topk": op4_topk, "op7_secrets": op7_secrets, "op8_dac": op8_dac, "op10_hamming": op10_hamming}
+ORACLES: dict[str, str] = {
+    "op4_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+                   WHERE embedding IS NOT NULL),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2]))::BIGINT AS score
+              FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+}
