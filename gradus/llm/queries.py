@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gradus.llm import byte_bpe, dac, hamming, packing, secret_scan, topk
+from gradus.llm import byte_bpe, dac, hamming, jaccard, packing, secret_scan, topk
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -36,11 +36,15 @@ def op8_dac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.stream(_read(spark, sf_dir, "documents"), WORDS)
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_read(spark, sf_dir, "documents"))
+
+
 def op10_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.hamming_search(_read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_packing": op2_packing, "op4_topk": op4_topk, "op7_secrets": op7_secrets, "op8_dac": op8_dac, "op10_hamming": op10_hamming}
+QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_packing": op2_packing, "op4_topk": op4_topk, "op7_secrets": op7_secrets, "op8_dac": op8_dac, "op9_jaccard": op9_jaccard, "op10_hamming": op10_hamming}
 ORACLES: dict[str, str] = {
     "op4_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
