@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gradus.llm import byte_bpe, dac, hamming, jaccard, packing, secret_scan, topk
+from gradus.llm import byte_bpe, dac, hamming, html_blocks, importance, jaccard, lm_score, packing, secret_scan, topk
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -24,10 +24,22 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), WORDS)
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.cross_entropy_difference(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.threshold_search(_read(spark, sf_dir, "embeddings"))
 
 
+def op5_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(_read(spark, sf_dir, "pages"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_read(spark, sf_dir, "documents"))
 
@@ -44,7 +56,7 @@ def op10_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.hamming_search(_read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe, "op2_packing": op2_packing, "op4_topk": op4_topk, "op7_secrets": op7_secrets, "op8_dac": op8_dac, "op9_jaccard": op9_jaccard, "op10_hamming": op10_hamming}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_packing, op3_lm_score, op4_topk, op5_importance, op6_html, op7_secrets, op8_dac, op9_jaccard, op10_hamming)}
 ORACLES: dict[str, str] = {
     "op4_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings

@@ -9,6 +9,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from gradus.llm.common import id_text
 from gradus.llm.tokens import slices
@@ -124,8 +125,8 @@ def redacted(text: str, spans, mark: str = "[SECRET]") -> str:
     return text
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: MarkovPair | None = None, redact: bool = False) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans (and, with redact, the redacted text) of every row.
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: MarkovPair | None = None) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row.
 
     Whole texts, offsets in code points, end exclusive. A null or empty text has no spans; repeated rows stay repeated.
     One pass without a shuffle.
@@ -141,8 +142,34 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: M
                 base = [[s for s in f if s[1] < 3] for f in found]
                 cols = [part.column("doc_id"), *(pa.array([sum(s[1] == k for s in b) for b in base], pa.int64()) for k in range(3))]
                 cols += [pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b in base], pa.string()), pa.array([joined(f) for f in found], pa.string())]
-                if redact:
-                    cols.append(pa.array([redacted(t, f) if f else t for t, f in zip(texts, found)], pa.string()))
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "redacted"][: len(cols)])
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return id_text(df, id_col, text_col).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string" + ", redacted string" * redact)
+    return id_text(df, id_col, text_col).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+
+
+def scrub(df: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", model: MarkovPair | None = None) -> DataFrame:
+    """df with every secret of its text replaced by a mark and the length column, if there is one, put right.
+
+    All rows and columns stay; a text without secrets, a null or an empty one stays as it is.
+    """
+    model = model or default_model()
+    names, schema = df.columns, df.schema
+    held = df.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("text", F.coalesce(f"c{names.index(text_col)}", F.lit("")))
+    at, length = names.index(text_col), names.index(length_col) if length_col in names else None
+
+    def run(batches):
+        scanner = Scanner(model)
+        for batch in batches:
+            for part in slices(batch):
+                cols = [part.column(i) for i in range(len(names))]
+                texts = part.column("text").to_pylist()
+                new = [redacted(t, f) if (f := scanner.spans(t)) else None for t in texts]
+                if any(n is not None for n in new):
+                    old, sizes = cols[at].to_pylist(), cols[length].to_pylist() if length is not None else None
+                    cols[at] = pa.array([o if n is None else n for o, n in zip(old, new)], cols[at].type)
+                    if sizes is not None:
+                        cols[length] = pa.array([o if n is None else len(n) for o, n in zip(sizes, new)], cols[length].type)
+                yield pa.RecordBatch.from_arrays(cols, names=[f"c{i}" for i in range(len(names))])
+
+    out = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(schema))
+    return held.mapInArrow(run, out).toDF(*names)
