@@ -93,9 +93,11 @@ def candidate_edges(docs: DataFrame, n: int, classes: Classes) -> DataFrame:
                 pairs = []
                 for d, t in sorted(zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist())):
                     k = classes.keys(shingles(words, t, n))
+                    if not len(k):
+                        continue  # no n-grams, or so few that only equal sets are linked
                     if (first := seen.setdefault(k.tobytes(), d)) != d:
                         pairs.append((first, d))  # the same keys throughout: most often copies
-                    elif len(k):
+                    else:
                         key.append(k)
                         doc.append(np.full(len(k), d, np.int64))
                 if not key:
@@ -159,7 +161,7 @@ def links_within(ids: np.ndarray, sets: list[np.ndarray], cut: int, num: int, de
                 continue
             both = overlaps(sets, rows, cols).astype(np.float64)
             union = size[rows.start : rows.stop, None] + size[None, cols.start : cols.stop] - both
-            for i, j in zip(*np.nonzero(den * both >= num * union)):
+            for i, j in zip(*np.nonzero((both > 0) & (den * both >= num * union))):
                 a, b = root(rows.start + int(i)), root(cols.start + int(j))
                 if a != b:
                     parent[max(a, b)] = min(a, b)
