@@ -372,3 +372,70 @@ def table_cells(spark, sf_dir):
 def parse_numeric(spark, sf_dir):
     li = V.table(spark, sf_dir, "lineitem")
     return li.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), T.parse_numeric(F.regexp_replace(F.col("l_quantity").cast("decimal(12,2)").cast("string"), r"\.", ",")).alias("parsed"))
+
+
+ALIASES = {"en": "text", "fr": "table", "de": "math", "es": "image"}
+
+
+@query("SELECT doc_id, CASE lang WHEN 'en' THEN 'text' WHEN 'fr' THEN 'table' WHEN 'de' THEN 'math' WHEN 'es' THEN 'image' ELSE 'other' END AS object_type, coalesce(nullif(substr(text, 1, 10), ''), source) AS reference FROM documents")
+def gt_canon(spark, sf_dir):
+    """One name an object type by an alias map, and the first payload that is there."""
+    alias = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
+    d = V.table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.coalesce(alias[F.col("lang")], F.lit("other")).alias("object_type"), F.coalesce(F.nullif(F.substring("text", 1, 10), F.lit("")), "source").alias("reference"))
+
+
+@query("SELECT page, gt_id, cand_id, round(dy, 6) AS dy FROM (SELECT *, row_number() OVER (PARTITION BY gt_id ORDER BY dy, w DESC, cand_id) AS n FROM (SELECT g.page, g.id AS gt_id, c.id AS cand_id, round(abs(c.y0 - g.y1), 9) AS dy, round(greatest(0, least(g.x1, c.x1) - greatest(g.x0, c.x0)) / least(g.x1 - g.x0, c.x1 - c.x0), 9) AS w FROM b g JOIN b c ON g.page = c.page AND g.id % 2 = 1 AND c.id % 2 = 0) WHERE dy <= 0.08 AND w >= 0.2) WHERE n = 1", V.BOXES)
+def join_caption(spark, sf_dir):
+    """Nearest caption under each box, of those that share a fifth of its width."""
+    g, c = V.boxes(spark, sf_dir)
+    j = g.select("page", "gt_id", F.col("box").alias("a")).join(c.select("page", "cand_id", F.col("box").alias("b")), "page")
+    width = F.least(F.col("a.x1") - F.col("a.x0"), F.col("b.x1") - F.col("b.x0"))
+    shared = F.greatest(F.lit(0.0), F.least("a.x1", "b.x1") - F.greatest("a.x0", "b.x0")) / width
+    j = j.withColumn("dy", F.round(F.abs(F.col("b.y0") - F.col("a.y1")), 9)).withColumn("w", F.round(shared, 9)).where("dy <= 0.08 and w >= 0.2")
+    return rounded(A.first_by(j, ["gt_id"], ["dy", F.desc("w"), "cand_id"]).select("page", "gt_id", "cand_id", "dy"))
+
+
+@query("""SELECT o_orderkey, count(a.q) AS n_reference, count(b.q) AS n_predicted, count(*) FILTER (a.q IS NOT NULL AND b.q IS NOT NULL) AS n_both, round(sum(CASE WHEN a.q = b.q THEN 1.0 ELSE 0.0 END) / nullif(count(a.q), 0), 6) AS content
+    FROM (SELECT coalesce(a.k, b.k) AS o_orderkey, a.q, b.q FROM a FULL JOIN b ON a.k = b.k AND a.r = b.r) x(o_orderkey, aq, bq), LATERAL (SELECT aq AS q) a, LATERAL (SELECT bq AS q) b GROUP BY o_orderkey""",
+       "a AS (SELECT l_orderkey AS k, l_linenumber AS r, floor(l_quantity) AS q FROM lineitem)", "b AS (SELECT l_orderkey AS k, l_linenumber AS r, floor(l_quantity - (l_linenumber % 2)) AS q FROM lineitem WHERE l_linenumber % 4 <> 0)")
+def join_cells(spark, sf_dir):
+    """Cells of two tables by their place: how many each has, both have, and have alike."""
+    li = V.table(spark, sf_dir, "lineitem")
+    a = li.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("r"), F.floor("l_quantity").alias("aq"))
+    b = li.where("l_linenumber % 4 <> 0").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("r"), F.floor(F.col("l_quantity") - F.col("l_linenumber") % 2).alias("bq"))
+    j = a.join(b, ["o_orderkey", "r"], "full_outer")
+    alike = F.sum(F.when(F.col("aq") == F.col("bq"), 1.0).otherwise(0.0))
+    return rounded(j.groupBy("o_orderkey").agg(F.count("aq").alias("n_reference"), F.count("bq").alias("n_predicted"), F.count_if(F.col("aq").isNotNull() & F.col("bq").isNotNull()).alias("n_both"), F.try_divide(alike, F.count("aq")).alias("content")))
+
+
+@query("SELECT doc_id, concat_ws(',', CASE WHEN length(predicted) < 0.72 * length(reference) THEN 'short' END, CASE WHEN length(predicted) > 1.35 * length(reference) THEN 'long' END, CASE WHEN levenshtein(reference, predicted) > 0.05 * length(reference) THEN 'characters' END) AS tags FROM t", V.TEXT_PAIRS)
+def error_tags(spark, sf_dir):
+    """Why a prediction lost: tags of the rules that hold."""
+    n, m = F.length("reference"), F.length("predicted")
+    tags = F.concat_ws(",", F.when(m < 0.72 * n, "short"), F.when(m > 1.35 * n, "long"), F.when(F.levenshtein("reference", "predicted") > 0.05 * n, "characters"))
+    return V.text_pairs(spark, sf_dir).select("doc_id", tags.alias("tags"))
+
+
+@query("SELECT user_id, event_id, raw_ok, std_ok FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY std_ok DESC, raw_ok DESC, ts, event_id) AS n FROM (SELECT user_id, event_id, ts, value > 50 AS raw_ok, value > 50 AND event_type <> 'click' AS std_ok FROM events) WHERE raw_ok) WHERE n = 1")
+def pick_cache(spark, sf_dir):
+    """First compatible cache by stage reached, then age; a later stage holds only if the earlier ones do."""
+    e = V.table(spark, sf_dir, "events").withColumn("raw_ok", F.col("value") > 50).withColumn("std_ok", F.col("raw_ok") & (F.col("event_type") != "click")).where("raw_ok")
+    return A.first_by(e, ["user_id"], [F.desc("std_ok"), F.desc("raw_ok"), "ts", "event_id"]).select("user_id", "event_id", "raw_ok", "std_ok")
+
+
+@query("""SELECT user_id, grp::BIGINT AS grp, count(*) AS n, min(event_id) AS first_event FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS grp FROM (SELECT user_id, event_id, ts,
+    CASE WHEN epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) <= 21600 THEN 0 ELSE 1 END AS new FROM events)) GROUP BY ALL""")
+def win_gap_groups(spark, sf_dir):
+    """Rows split where the gap to the one before is too wide."""
+    own = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    gap = F.col("ts").cast("double") - F.lag("ts").over(own).cast("double")
+    e = V.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("new", F.when(gap <= 21600, 0).otherwise(1))
+    e = e.withColumn("grp", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    return e.groupBy("user_id", "grp").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
+
+
+@query("SELECT doc_id, 'missing' AS state FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'extra' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
+def set_missing_extra(spark, sf_dir):
+    d, lab = (V.table(spark, sf_dir, t).select("doc_id") for t in ("documents", "labels"))
+    return d.join(lab, "doc_id", "left_anti").withColumn("state", F.lit("missing")).unionByName(lab.join(d, "doc_id", "left_anti").withColumn("state", F.lit("extra")))
