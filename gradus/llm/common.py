@@ -44,6 +44,11 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A table of ids as a join's smaller side: broadcast if it was counted to hold few rows, hashed after a shuffle if not."""
+    return F.broadcast(df) if df.count() <= most else df.hint("shuffle_hash")
+
+
 class WordHashes(dict):
     """word (bytes) -> stable 64-bit hash; forgets all when full, which costs time only."""
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradus.llm.common import Scratch, WordHashes, components, gram_hashes, id_text, mix64
+from gradus.llm.common import MIX, Scratch, WordHashes, components, few, gram_hashes, id_text, mix64
 from gradus.llm.tokens import slices
 
 SPARE = 3  # fragments beyond the pigeonhole's need, so that empty fragments seldom have to be joined
@@ -109,15 +109,15 @@ def candidate_edges(docs: DataFrame, n: int, classes: Classes) -> DataFrame:
                 least = np.repeat(doc[new], np.diff(np.append(new, len(key))))
                 tied = least != doc
                 local = np.unique(np.concatenate([np.stack([least[tied], doc[tied]], 1), np.array(pairs, np.int64).reshape(-1, 2)]), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(key[new].astype(np.int64)), pa.array(doc[new]), pa.nulls(len(new), pa.int64())], names=["key", "a", "b"])
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(local), pa.int64()), pa.array(local[:, 0].copy()), pa.array(local[:, 1].copy())], names=["key", "a", "b"])
+                # a local tie is two rows of a key of its own
+                tie = mix64(mix64(local[:, 0].astype(np.uint64)) * MIX + local[:, 1].astype(np.uint64))
+                keys = np.concatenate([key[new], tie, tie]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate([doc[new], local[:, 0], local[:, 1]]))], names=["key", "a"])
 
-    rows = docs.mapInArrow(run, "key long, a long, b long")
-    # local stars need no partner: a random key deals them evenly
-    dealt = rows.withColumn("at", F.coalesce("key", F.xxhash64("a", "b")))
-    running = Window.partitionBy("at", F.col("key").isNull()).orderBy("a").rowsBetween(Window.unboundedPreceding, 0)
-    tied = dealt.withColumn("b", F.coalesce("b", F.first("a").over(running)))
-    return tied.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    rows = docs.mapInArrow(run, "key long, a long")
+    running = Window.partitionBy("key").orderBy("a").rowsBetween(Window.unboundedPreceding, 0)
+    tied = rows.withColumn("b", F.first("a").over(running))
+    return tied.where("a <> b").select("a", "b").distinct()
 
 
 def overlaps(sets: list[np.ndarray], rows: range, cols: range, width: int = 4096) -> np.ndarray:
@@ -199,30 +199,25 @@ def jaccard_components(df: DataFrame, n: int = 3, num: int = 90, den: int = 100,
     several = members.groupBy("label").agg(F.count("*").alias("members")).where("members > 1")
     members = scratch.save(members.join(several, "label").select(F.col("node").alias("doc_id"), "label"), "members")
 
-    def grams(batches):
-        words = WordHashes()
-        for batch in batches:
-            for part in slices(batch):
-                own = [shingles(words, t, n) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array([len(g) for g in own], pa.int64()), pa.array([g.tobytes() for g in own], pa.binary())], names=["doc_id", "label", "size", "grams"])
-
-    texts = known.join(members.hint("shuffle_hash"), "doc_id").select("doc_id", "label", "text")
-    held = scratch.save(texts.mapInArrow(grams, "doc_id long, label long, size long, grams binary"), "held")
+    # the texts go to the blocks, as they pack better than the hashes of their n-grams
+    held = members.join(sized.groupBy("doc_id").agg(F.max("n_shingles").alias("size")), "doc_id")
     size = held.groupBy("label").agg(F.sum("size").alias("total"), F.count("*").alias("rows"))
     chunks = size.select("label", F.greatest(F.ceil(F.col("total") / block_shingles), F.ceil(F.col("rows") / block_rows)).cast("int").alias("chunks"))
-    cut = held.join(chunks, "label").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
+    placed = scratch.save(members.join(chunks, "label").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")), "placed")
+    cut = known.join(few(placed), "doc_id")
     # chunk i meets every chunk j: as (i, j) with i <= j
     paired = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
 
     def block(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates(["doc_id", "grams"]).sort_values(["chunk", "doc_id"])
-        sets = [np.frombuffer(g, np.uint64) for g in rows["grams"]]
+        rows = rows.drop_duplicates(["doc_id", "text"]).sort_values(["chunk", "doc_id"])
+        words = WordHashes()
+        sets = [shingles(words, t, n) for t in rows["text"]]
         chunk = rows["chunk"].to_numpy()
         first = int((chunk == chunk[0]).sum()) if len(chunk) else 0
         out = links_within(rows["doc_id"].to_numpy(), sets, first if first < len(chunk) else 0, num, den) if len(chunk) > 1 and (first < len(chunk) or rows["i"].iat[0] == rows["j"].iat[0]) else []
         return pd.DataFrame({"a": [a for a, _ in out], "b": [b for _, b in out]}, dtype="int64")
 
-    links = scratch.save(paired.select("label", "i", "j", "doc_id", "chunk", "grams").groupBy("label", "i", "j").applyInPandas(block, "a long, b long"), "links")
+    links = scratch.save(paired.select("label", "i", "j", "doc_id", "chunk", "text").groupBy("label", "i", "j").applyInPandas(block, "a long, b long"), "links")
     found = components(links.unionByName(copies), scratch, "found")
     out = sized.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
