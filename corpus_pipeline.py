@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gradus.llm import importance, jaccard, packing, secret_scan
-from gradus.llm.common import Scratch
+from gradus.llm.common import Scratch, few
 from gradus.llm.queries import WORDS
 
 
@@ -20,8 +20,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Documents without words, and rows without doc_id, are linked with nothing and stay; rows that repeat a doc_id stay together.
     """
     classes = jaccard.jaccard_components(docs, n=5, num=80, den=100)
-    gone = classes.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    gone = Scratch(spark, "gone").save(classes.where("component_id <> doc_id").select("doc_id").distinct(), "ids")
+    return docs.join(few(gone), "doc_id", "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
