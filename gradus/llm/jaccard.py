@@ -58,8 +58,28 @@ class Classes:
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def bitmap(grams: np.ndarray) -> bytes:
+    """Parities of how many n-grams fall on each place: as many bits as n-grams, up to a power of two, 64 at least.
+
+    Two bitmaps differ in no more places than the sets in n-grams. Half as wide a bitmap is one half xor the other.
+    """
+    width = max(64, 1 << max(0, len(grams) - 1).bit_length())
+    return np.packbits(np.bincount((grams & np.uint64(width - 1)).astype(np.int64), minlength=width).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def differing(x: int, y: int, wide_x: int, wide_y: int) -> int:
+    """In how many places two bitmaps (as numbers) differ, at the smaller of their widths in bits."""
+    while wide_x > wide_y:
+        wide_x //= 2
+        x = (x >> wide_x) ^ (x & ((1 << wide_x) - 1))
+    while wide_y > wide_x:
+        wide_y //= 2
+        y = (y >> wide_y) ^ (y & ((1 << wide_y) - 1))
+    return (x ^ y).bit_count()
+
+
 def sets_of(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, and two hashes of the whole set (null for an empty one)."""
+    """doc_id, n_shingles, two hashes of the whole set and its bitmap (null for an empty one)."""
 
     def run(batches):
         words = WordHashes()
@@ -71,53 +91,138 @@ def sets_of(docs: DataFrame, n: int) -> DataFrame:
                     one = np.array([mix64(g).sum(dtype=np.uint64) for g in grams], np.uint64).astype(np.int64)
                     two = np.array([mix64(g ^ np.uint64(0x5BD1E995)).sum(dtype=np.uint64) for g in grams], np.uint64).astype(np.int64)
                 none = size == 0
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size), pa.array(one, mask=none), pa.array(two, mask=none)], names=["doc_id", "n_shingles", "h1", "h2"])
+                bits = pa.array([bitmap(g) if len(g) else None for g in grams], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size), pa.array(one, mask=none), pa.array(two, mask=none), bits], names=["doc_id", "n_shingles", "h1", "h2", "bits"])
+
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, bits binary")
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long")
 
+WIDE = 40  # a row's spread: how far from it the documents that it stands for are, times 2 ** WIDE, plus their largest size
 
-def candidate_edges(docs: DataFrame, n: int, classes: Classes) -> DataFrame:
-    """(a, b): documents that share a fragment key, as stars around the smallest id of each key.
 
-    Within a batch every key is tied to its smallest id at once and sent on once only, so a key that a third of all
-    documents hold arrives as one row a batch. Equal keys then meet by a sorted shuffle and a running minimum, which
-    holds one row at a time.
+def key_rows(docs: DataFrame, n: int, classes: Classes) -> DataFrame:
+    """(key, a, spread): which document holds which fragment key; spread 0 for a document that stands for itself alone.
+
+    Within a batch, documents of one key with bitmaps of one width that differ by at most a quarter of what links allow
+    from the first such one are tied to that one and not sent on, so a key that a large group of near copies holds
+    arrives as about one row a batch. A tie is two rows of a key of its own.
     """
+    num, den = classes.num, classes.den
 
     def run(batches):
         words = WordHashes()
         for batch in batches:
             for part in slices(batch, 16_000_000):
-                doc, key = [], []
-                seen: dict[bytes, int] = {}
-                pairs = []
+                doc, key, size, wide, bits = [], [], [], [], []
+                seen: dict[tuple[bytes, bytes], int] = {}
+                ties: set[tuple[int, int]] = set()
                 for d, t in sorted(zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist())):
-                    k = classes.keys(shingles(words, t, n))
+                    grams = shingles(words, t, n)
+                    k = classes.keys(grams)
                     if not len(k):
                         continue  # no n-grams, or so few that only equal sets are linked
-                    if (first := seen.setdefault(k.tobytes(), d)) != d:
-                        pairs.append((first, d))  # the same keys throughout: most often copies
-                    else:
-                        key.append(k)
-                        doc.append(np.full(len(k), d, np.int64))
+                    own = bitmap(grams)
+                    if (first := seen.setdefault((k.tobytes(), own), d)) != d:
+                        ties.add((first, d))  # the same throughout: most often copies
+                        continue
+                    key.append(k)
+                    doc.append(d)
+                    size.append(len(grams))
+                    wide.append(8 * len(own))
+                    bits.append(int.from_bytes(own, "little"))
                 if not key:
                     continue
-                key, doc = np.concatenate(key), np.concatenate(doc)
+                at = np.repeat(np.arange(len(doc)), [len(k) for k in key])
+                key = np.concatenate(key)
                 order = np.argsort(key, kind="stable")  # ids ascend within a key
-                key, doc = key[order], doc[order]
+                key, at = key[order], at[order]
                 new = np.flatnonzero(np.diff(key, prepend=key[0] ^ np.uint64(1)))
-                least = np.repeat(doc[new], np.diff(np.append(new, len(key))))
-                tied = least != doc
-                local = np.unique(np.concatenate([np.stack([least[tied], doc[tied]], 1), np.array(pairs, np.int64).reshape(-1, 2)]), axis=0)
-                # a local tie is two rows of a key of its own
-                tie = mix64(mix64(local[:, 0].astype(np.uint64)) * MIX + local[:, 1].astype(np.uint64))
-                keys = np.concatenate([key[new], tie, tie]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate([doc[new], local[:, 0], local[:, 1]]))], names=["key", "a"])
+                many = np.diff(np.append(new, len(key)))
+                send = np.ones(len(key), bool)
+                spread = np.zeros(len(key), np.int64)
+                known: dict[tuple[int, int], int] = {}
+                for start, stop in zip(new[many > 1].tolist(), (new + many)[many > 1].tolist()):
+                    heads: list[list[int]] = []  # place among the rows, document, radius, largest size
+                    for r, x in enumerate(at[start:stop].tolist(), start):
+                        near = size[x] * (den - num) // (2 * (den + num))
+                        for h in heads:
+                            z = h[1]
+                            if wide[z] == wide[x]:
+                                if (apart := known.get((z, x))) is None:
+                                    apart = known[z, x] = (bits[z] ^ bits[x]).bit_count()
+                                if apart <= near:
+                                    h[2], h[3] = max(h[2], apart), max(h[3], size[x])
+                                    send[r] = False
+                                    if doc[z] != doc[x]:
+                                        ties.add((doc[z], doc[x]))
+                                    break
+                        else:
+                            heads.append([r, x, 0, size[x]])
+                    for r, _, radius, most in heads:
+                        spread[r] = (radius << WIDE) + most
+                ids = np.array(doc, np.int64)[at]
+                pairs = np.array(sorted(ties), np.int64).reshape(-1, 2)
+                tie = mix64(mix64(pairs[:, 0].astype(np.uint64)) * MIX + pairs[:, 1].astype(np.uint64))
+                keys = np.concatenate([key[send], tie, tie]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate([ids[send], pairs[:, 0], pairs[:, 1]])), pa.array(np.concatenate([spread[send], np.zeros(2 * len(pairs), np.int64)]))], names=["key", "a", "spread"])
+
+    return docs.mapInArrow(run, "key long, a long, spread long")
+
+
+def candidate_edges(docs: DataFrame, sized: DataFrame, n: int, classes: Classes, scratch: Scratch, block: int = 1024) -> DataFrame:
+    """(a, b): a spanning forest, bucket by bucket, of the pairs that share a fragment key and whose bitmaps allow a link.
+
+    A bucket is the documents of one key; buckets with the same documents count once. Bitmaps meet in blocks of at most
+    2 * block rows: a larger bucket is cut by a hash into chunks, and each pair of chunks is a block. What a row stands
+    for besides itself is at most its radius away, so two rows may hold a link if their bitmaps differ by no more than
+    links of their largest sizes allow and both radii.
+    """
+    num, den = classes.num, classes.den
+    own = Window.partitionBy("key")
+    rows = key_rows(docs, n, classes).select("key", "a", "spread", F.count("*").over(own).alias("many"), F.bit_xor(F.xxhash64("a", "spread")).over(own).alias("bucket"))
+    rows = scratch.save(rows.where("many > 1").select("bucket", "many", "a", "spread").distinct(), "buckets")
+    held = rows.join(sized.where("bits is not null").select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("size"), "bits"), "a")
+    held = held.withColumn("chunks", F.ceil(F.col("many") / block).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("a"), F.col("chunks")).cast("int"))
+    held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
+    held = held.select("bucket", "many", "i", "j", "a", "spread", "chunk", "size", "bits").repartition("bucket", "many", "i", "j").sortWithinPartitions("bucket", "many", "i", "j", "chunk")
+
+    def forest(rows: list[tuple]) -> list[tuple[int, int]]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[up]
+            return x
 
-    rows = docs.mapInArrow(run, "key long, a long")
-    running = Window.partitionBy("key").orderBy("a").rowsBetween(Window.unboundedPreceding, 0)
-    tied = rows.withColumn("b", F.first("a").over(running))
-    return tied.where("a <> b").select("a", "b").distinct()
+        out = []
+        across = rows[0][2] != rows[0][3]
+        nodes = [(a, chunk, (spread & ((1 << WIDE) - 1)) or size, spread >> WIDE, 8 * len(bits), int.from_bytes(bits, "little")) for _, _, _, _, a, spread, chunk, size, bits in rows]
+        for k, (a, chunk, size, radius, wide, bits) in enumerate(nodes):
+            for b, chunk_b, size_b, radius_b, wide_b, bits_b in nodes[:k]:
+                if across and chunk == chunk_b or a == b or (up := root(a)) == (up_b := root(b)):
+                    continue
+                if differing(bits, bits_b, wide, wide_b) <= (size + size_b) * (den - num) // (den + num) + radius + radius_b:
+                    parent[max(up, up_b)] = min(up, up_b)
+                    out.append((a, b))
+        return out
+
+    def run(batches):
+        last, rows, out = None, [], set()
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:4] != last:
+                    if len(rows) > 1:
+                        out.update(forest(rows))
+                    last, rows = row[:4], []
+                rows.append(row)
+            if len(out) > 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+                out = set()
+        if len(rows) > 1:
+            out.update(forest(rows))
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return held.mapInArrow(run, "a long, b long").distinct()
 
 
 def overlaps(sets: list[np.ndarray], rows: range, cols: range, width: int = 4096) -> np.ndarray:
@@ -178,8 +283,8 @@ def jaccard_components(df: DataFrame, n: int = 3, num: int = 90, den: int = 100,
     returned; rows without doc_id are returned unlinked, without component. No rows in, none out.
 
     Equal sets meet by their hashes. Different linked sets agree on a whole fragment of the global n-gram order
-    (Classes), so stars around fragment keys reach every link; their components are candidate groups. Within each
-    group, blocks of bounded size count overlaps fragment by fragment and sum them, and give back a spanning forest
+    (Classes) and their bitmaps differ by no more than the sets may, so the components of the pairs with both hold
+    every link; they are candidate groups. Within each group, blocks of bounded size count overlaps fragment by fragment and sum them, and give back a spanning forest
     of the true links. A group too large for a block is cut by a hash into chunks, and each pair of chunks is a block.
     N-grams are told apart by 64-bit hashes.
     """
@@ -192,7 +297,7 @@ def jaccard_components(df: DataFrame, n: int = 3, num: int = 90, den: int = 100,
     same = sized.where("h1 is not null and doc_id is not null").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("many")).where("many > 1")
     copies = sized.where("doc_id is not null").join(same, ["h1", "h2", "n_shingles"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     copies = scratch.save(copies.distinct(), "copies")
-    shared = scratch.save(candidate_edges(known, n, classes), "shared")
+    shared = scratch.save(candidate_edges(known, sized, n, classes, scratch), "shared")
     groups = components(shared.unionByName(copies), scratch, "groups")
     # one document of each set stands for it
     members = groups.join(copies.select(F.col("a").alias("node")), "node", "left_anti")
