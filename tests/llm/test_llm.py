@@ -238,6 +238,46 @@ def test_jaccard(spark, n, num, den):
     assert jaccard.jaccard_components(df.limit(0), n, num, den).count() == 0
 
 
+def test_bitmaps_never_differ_more_than_sets():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        base = rng.integers(0, 1 << 63, int(rng.integers(1, 400))).astype(np.uint64)
+        x = np.unique(base)
+        y = np.unique(np.concatenate([base[rng.random(len(base)) < rng.random()], rng.integers(0, 1 << 63, int(rng.integers(0, 300))).astype(np.uint64)]))
+        if len(y):
+            a, b = jaccard.bitmap(x), jaccard.bitmap(y)
+            assert len(a) * 8 >= max(64, len(x))
+            assert jaccard.differing(int.from_bytes(a, "little"), int.from_bytes(b, "little"), 8 * len(a), 8 * len(b)) <= len(np.setxor1d(x, y))
+
+
+def test_jaccard_of_large_groups_and_shared_passages(spark):
+    """Chains of near copies, a passage that unlike documents share, rows that repeat a doc_id, buckets cut into chunks."""
+    rng = random.Random(8)
+    vocab = ["v%d" % i for i in range(3000)]
+    passage, base = rng.choices(vocab, k=60), rng.choices(vocab, k=150)
+    rows = []
+    for i in range(120):
+        base = list(base)  # each copy of the copy before it: the ends of the chain are far apart
+        base[rng.randrange(150)] = rng.choice(vocab)
+        rows.append((i, " ".join(base)))
+    for i in range(120, 240):
+        rows.append((i, " ".join(rng.choices(vocab, k=rng.choice([3, 8, 15, 90])) + passage + rng.choices(vocab, k=rng.choice([0, 4, 9])))))
+    texts = dict(rows)
+    df = spark.createDataFrame(rows + rows[:2], "doc_id long, text string").repartition(5)
+    want = brute_components(texts, 5, 80, 100)
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, 5, 80, 100).collect()]
+    assert sorted(got) == sorted([(i, *want[i]) for i in texts] + [(i, *want[i]) for i in (0, 1)])
+    classes = jaccard.Classes(80, 100)
+    sized = jaccard.sets_of(df, 5)
+    whole, cut = ({(r.a, r.b) for r in jaccard.candidate_edges(df, sized, 5, classes, common.Scratch(spark, "t"), block).collect()} for block in (1024, 4))
+
+    def classes_of(edges):
+        found = common.components(spark.createDataFrame(sorted(edges), "a long, b long"), common.Scratch(spark, "t"), "x")
+        return {r.node: r.label for r in found.collect()}
+
+    assert classes_of(whole) == classes_of(cut)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 200), (200, 150)]
     got = {r.node: r.label for r in common.components(spark.createDataFrame(edges, "a long, b long"), common.Scratch(spark, "t"), "x").collect()}
