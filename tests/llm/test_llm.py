@@ -366,19 +366,31 @@ def test_lm_score(quality):
         every.update(w)
         every.update(zip(w, w[1:]))
         every["all"] += len(w)
-    vocab = {k for k, n in own.items() if n > 1 and k != "all"}
-    size = sum(isinstance(k, str) for k in vocab) + 1
-
-    def loss(c, w):
-        known = sum(c[k] for k in vocab if isinstance(k, str))
-        n = lambda x: c[x] if x in vocab else c["all"] - known
+    vocab = {k for k, n in every.items() if n > 1 and isinstance(k, str) and k != "all"}
+    twice = {k for k, n in own.items() if n > 1 and k != "all"}
+    size = len(vocab) + 1
+
+    def loss(c, counts, text):
+        w = text.lower().split()
+        held = collections.Counter({k: c[k] for k in vocab if counts(k)})
+        unknown = c["all"] - sum(held.values())
+        n = lambda x: held[x] if x in vocab else unknown
         out = [(n(w[0]) + 1) / (c["all"] + size)]
         for a, b in zip(w, w[1:]):
-            out.append(0.4 * (n(b) + 1) / (c["all"] + size) + (0.6 * (c[a, b] if (a, b) in vocab else 0) / n(a) if n(a) else 0))
+            out.append(0.4 * (n(b) + 1) / (c["all"] + size) + (0.6 * c[a, b] / n(a) if (a, b) in twice else 0))
         return -np.mean(np.log(out))
 
-    w = next(r.text for r in df.collect() if r.doc_id == 1).lower().split()
-    assert abs(rows[1].target_loss - loss(own, w)) < 1e-9 and abs(rows[1].background_loss - loss(every, w)) < 1e-9
+    for listed in (1 << 18, 20):  # all words listed, and most of them met by the join
+        rows = {r.doc_id: r for r in lm_score.cross_entropy_difference(df, labels, listed_words=listed).collect()}
+        assert len(rows) == 402
+        for r in df.collect():
+            if r.text and r.text.split():
+                found = rows[r.doc_id]
+                assert abs(found.target_loss - loss(own, twice.__contains__, r.text)) < 1e-9
+                assert abs(found.background_loss - loss(every, lambda k: True, r.text)) < 1e-9
+                assert abs(found.score - found.target_loss + found.background_loss) < 1e-12
+    none = lm_score.cross_entropy_difference(df, labels.limit(0)).where("n_tokens > 0").collect()
+    assert none and all(r.score == 0 for r in none)
     assert lm_score.cross_entropy_difference(df.limit(0), labels).count() == 0
 
 
