@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 
 def prf(tp: Column, predicted: Column, reference: Column) -> Column:
@@ -16,15 +20,10 @@ def prf(tp: Column, predicted: Column, reference: Column) -> Column:
     return F.struct(p.alias("precision"), r.alias("recall"), F.when(p + r == 0, 0.0).otherwise(2 * p * r / (p + r)).alias("f1"))
 
 
-def token_counts(tokens: Column) -> Column:
-    """map<token, count> of an array."""
-    return F.map_from_entries(F.transform(F.array_distinct(tokens), lambda t: F.struct(t, F.size(F.filter(tokens, lambda x: x == t)))))
-
-
-def multiset_overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two arrays."""
-    both = F.map_zip_with(token_counts(a), token_counts(b), lambda k, x, y: F.least(F.coalesce(x, F.lit(0)), F.coalesce(y, F.lit(0))))
-    return F.aggregate(F.map_values(both), F.lit(0), lambda s, x: s + x)
+@F.pandas_udf(IntegerType())
+def multiset_overlap(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Size of the multiset intersection of two arrays, in time linear in their lengths."""
+    return pd.Series([None if x is None or y is None else (Counter(x) & Counter(y)).total() for x, y in zip(a, b)], dtype="Int32")
 
 
 def multiset_prf(reference: Column, predicted: Column) -> Column:
@@ -44,21 +43,64 @@ def clamp01(c: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
 
 
+def edit_distance(a, b) -> int:
+    """Least number of insertions, deletions and replacements between two sequences of any length.
+
+    Myers' bit vectors as Python integers of the longer one's length, one step an item of the shorter one.
+    """
+    if len(a) < len(b):
+        a, b = b, a
+    start, end = 0, 0
+    while start < len(b) and a[start] == b[start]:
+        start += 1
+    while end < len(b) - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
+    if not len(b):
+        return len(a)
+    places: dict = {}
+    wanted = set(b)
+    for i, x in enumerate(a):
+        if x in wanted:
+            places.setdefault(x, []).append(i)
+
+    def bits(at: list[int]) -> int:
+        held = bytearray(len(a) // 8 + 1)
+        for i in at:
+            held[i >> 3] |= 1 << (i & 7)
+        return int.from_bytes(held, "little")
+
+    common = {x: bits(at) for x, at in places.items() if 256 * len(at) >= len(a)}  # at most 256; the others are made when met
+    mask = (1 << len(a)) - 1
+    up, down = mask, 0
+    for x in b:
+        same = common.get(x)
+        if same is None:
+            same = bits(places[x]) if x in places else 0
+        v = same | down
+        h = ((((same & up) + up) ^ up) | same) & mask
+        more, less = down | (mask ^ (h | up)), up & h
+        more, less = ((more << 1) | 1) & mask, (less << 1) & mask
+        up, down = less | (mask ^ ((v | more) & mask)), more & v
+    return len(b) + up.bit_count() - down.bit_count()
+
+
+@F.pandas_udf(IntegerType())
+def distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Edit distance of two texts in characters (code points)."""
+    return pd.Series([None if x is None or y is None else edit_distance(x, y) for x, y in zip(a, b)], dtype="Int32")
+
+
+@F.pandas_udf(IntegerType())
+def token_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Edit distance of token arrays."""
+    return pd.Series([None if x is None or y is None else edit_distance(list(x), list(y)) for x, y in zip(a, b)], dtype="Int32")
+
+
 def edit_similarity(a: Column, b: Column) -> Column:
     """1 less the distance by the longer length; two empty texts are alike."""
     longer = F.greatest(F.length(a), F.length(b))
-    return F.when(longer == 0, 1.0).otherwise(1 - F.try_divide(F.levenshtein(a, b).cast("double"), longer))
-
-
-def token_text(tokens: Column, vocabulary: Column) -> Column:
-    """One character a token, by its place in a vocabulary array of fewer than 55,000, so that levenshtein() counts tokens."""
-    return F.concat_ws("", F.transform(tokens, lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(vocabulary, t) + 256), 4, "0")), "UTF-16BE")))
-
-
-def token_distance(a: Column, b: Column) -> Column:
-    """Edit distance of token arrays."""
-    both = F.array_distinct(F.concat(a, b))
-    return F.when(F.size(both) < 55_000, F.levenshtein(token_text(a, both), token_text(b, both)))
+    return F.when(longer == 0, 1.0).otherwise(1 - F.try_divide(distance(a, b).cast("double"), longer))
 
 
 def box_area(b: Column) -> Column:

@@ -236,7 +236,7 @@ def assign_hungarian(spark, sf_dir):
 @query("""SELECT doc_id, levenshtein(reference, predicted) AS distance, round(levenshtein(reference, predicted) / length(reference), 6) AS cer, round(1 - levenshtein(reference, predicted) / greatest(length(reference), length(predicted)), 6) AS edit_similarity FROM t""", V.TEXT_PAIRS)
 def levenshtein(spark, sf_dir):
     t = V.text_pairs(spark, sf_dir)
-    d = F.levenshtein("reference", "predicted")
+    d = M.distance("reference", "predicted")
     return rounded(t.select("doc_id", d.alias("distance"), M.error_rate(d, F.length("reference"), F.length("predicted")).alias("cer"), M.edit_similarity(F.col("reference"), F.col("predicted")).alias("edit_similarity")))
 
 
@@ -262,7 +262,7 @@ def text_metrics(spark, sf_dir):
     """0.40 CER, 0.30 WER, 0.10 edit similarity and 0.20 reading order where there is one, each as a score."""
     t = V.text_pairs(spark, sf_dir).select("doc_id", T.norm_text(F.col("reference")).alias("r"), T.norm_text(F.col("predicted")).alias("p"))
     t = t.withColumns({"rw": T.word_tokens(F.col("r")), "pw": T.word_tokens(F.col("p"))})
-    cer = 1 - M.error_rate(F.levenshtein("r", "p"), F.length("r"), F.length("p"))
+    cer = 1 - M.error_rate(M.distance("r", "p"), F.length("r"), F.length("p"))
     wer = 1 - M.error_rate(M.token_distance(F.col("rw"), F.col("pw")), F.size("rw"), F.size("pw"))
     score = M.weighted_mean([(0.40, M.clamp01(cer)), (0.30, M.clamp01(wer)), (0.10, M.edit_similarity(F.col("r"), F.col("p"))), (0.20, F.lit(None).cast("double"))])
     return rounded(t.select("doc_id", M.clamp01(cer).alias("cer"), M.clamp01(wer).alias("wer"), (100 * score).alias("score")))
@@ -382,7 +382,7 @@ def gt_canon(spark, sf_dir):
     """One name an object type by an alias map, and the first payload that is there."""
     alias = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
     d = V.table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.coalesce(alias[F.col("lang")], F.lit("other")).alias("object_type"), F.coalesce(F.nullif(F.substring("text", 1, 10), F.lit("")), "source").alias("reference"))
+    return d.select("doc_id", F.coalesce(alias[F.col("lang")], F.lit("other")).alias("object_type"), F.coalesce(F.nullif("text", F.lit("")), "source").alias("reference"))
 
 
 @query("SELECT page, gt_id, cand_id, round(dy, 6) AS dy FROM (SELECT *, row_number() OVER (PARTITION BY gt_id ORDER BY dy, w DESC, cand_id) AS n FROM (SELECT g.page, g.id AS gt_id, c.id AS cand_id, round(abs(c.y0 - g.y1), 9) AS dy, round(greatest(0, least(g.x1, c.x1) - greatest(g.x0, c.x0)) / least(g.x1 - g.x0, c.x1 - c.x0), 9) AS w FROM b g JOIN b c ON g.page = c.page AND g.id % 2 = 1 AND c.id % 2 = 0) WHERE dy <= 0.08 AND w >= 0.2) WHERE n = 1", V.BOXES)
@@ -413,7 +413,7 @@ def join_cells(spark, sf_dir):
 def error_tags(spark, sf_dir):
     """Why a prediction lost: tags of the rules that hold."""
     n, m = F.length("reference"), F.length("predicted")
-    tags = F.concat_ws(",", F.when(m < 0.72 * n, "short"), F.when(m > 1.35 * n, "long"), F.when(F.levenshtein("reference", "predicted") > 0.05 * n, "characters"))
+    tags = F.concat_ws(",", F.when(m < 0.72 * n, "short"), F.when(m > 1.35 * n, "long"), F.when(M.distance("reference", "predicted") > 0.05 * n, "characters"))
     return V.text_pairs(spark, sf_dir).select("doc_id", tags.alias("tags"))
 
 

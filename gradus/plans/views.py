@@ -58,10 +58,10 @@ s AS (SELECT page, gt_id, cand_id, inter / (ga + ca - inter) AS iou, inter / lea
 
 
 def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reference and prediction: the first lines of neighbouring documents of plain ASCII."""
+    """Reference and prediction: the whole texts of neighbouring documents."""
     d = table(spark, sf_dir, "documents")
-    a = d.select("doc_id", "lang", F.substring("text", 1, 120).alias("reference")).where(F.length("reference") == F.octet_length("reference"))
-    b = d.select((F.col("doc_id") - 1).alias("doc_id"), F.substring("text", 1, 120).alias("predicted")).where(F.length("predicted") == F.octet_length("predicted"))
+    a = d.select("doc_id", "lang", F.col("text").alias("reference"))
+    b = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("predicted"))
     return a.join(b, "doc_id")
 
 
