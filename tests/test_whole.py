@@ -63,3 +63,22 @@ def test_text_pairs_are_whole(spark, texts):
     assert got["text_metrics"][0].wer == pytest.approx(1 - brute(x, y) / len(x), abs=1e-6)
     assert all(len(got[k]) == len(text) - 1 for k in got if k != "gt_canon")
     assert {i: r.reference for i, r in got["gt_canon"].items()} == {i: t or "web" for i, t in enumerate(text)}
+
+
+def joined_with(spark, tmp_path, **tables):
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def test_whole_tables_are_joined(spark, tmp_path):
+    orders = [(k, k % 5) for k in range(1, 21)]
+    lines = [(k, n, float(k + n)) for k in range(4) for n in range(1, 8)]
+    d = joined_with(spark, tmp_path, orders=(orders, "o_orderkey long, o_custkey long"), customer=([(c,) for c in range(1, 8)], "c_custkey long"), lineitem=(lines, "l_orderkey long, l_linenumber int, l_quantity double"))
+    got = {tuple(r) for r in registry.QUERIES["gt_manifest_check"](spark, d).collect()}
+    want = {(o, c, c if c else -1, "both" if c else "missing") for o, c in orders} | {(None, None, c, "extra") for c in (5, 6, 7)}
+    assert got == want
+    cells = {r.o_orderkey: r for r in registry.QUERIES["join_cells"](spark, d).collect()}
+    assert len(cells) == 4
+    for r in cells.values():  # lines of even number are alike
+        assert (r.n_reference, r.n_predicted, r.n_both) == (7, 7, 7) and abs(r.content - 3 / 7) < 1e-6
