@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradus.functions.metrics import box_iou, box_ios
+from gradus.functions.metrics import box_area, box_iou, box_ios, box_overlap
 
 
 def pair_scores(truth: DataFrame, found: DataFrame, keys: list[str], least: float = 0.10) -> DataFrame:
@@ -25,8 +25,12 @@ def owners(truth: DataFrame, found: DataFrame, keys: list[str], least: float = 0
 
 
 def nearest(truth: DataFrame, found: DataFrame, keys: list[str], k: int = 8) -> DataFrame:
-    """Up to k candidates that overlap each box, most first."""
-    hits = pair_scores(truth, found, keys, 0.002)
+    """Up to k candidates that cover 0.002 of each box or have their centre in it, those that cover most of it first."""
+    pairs = truth.select(*keys, "gt_id", F.col("box").alias("a")).join(found.select(*keys, "cand_id", F.col("box").alias("b")), keys)
+    a, b = F.col("a"), F.col("b")
+    covered = box_overlap(a, b) / F.greatest(F.lit(1e-12), box_area(a))
+    centre = ((b["x0"] + b["x1"]) / 2).between(a["x0"], a["x1"]) & ((b["y0"] + b["y1"]) / 2).between(a["y0"], a["y1"])
+    hits = pairs.where((covered >= 0.002) | centre).select(*keys, "gt_id", "cand_id", F.round(covered, 9).alias("score"))
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy("gt_id").orderBy(F.desc("score"), "cand_id")).cast("int")).where(F.col("rank") <= k)
 
 

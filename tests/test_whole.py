@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from gradus.functions import metrics as M
+from gradus.operators import matching
 from gradus.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -82,3 +83,26 @@ def test_whole_tables_are_joined(spark, tmp_path):
     assert len(cells) == 4
     for r in cells.values():  # lines of even number are alike
         assert (r.n_reference, r.n_predicted, r.n_both) == (7, 7, 7) and abs(r.content - 3 / 7) < 1e-6
+
+
+NEARBY = """WITH b AS (SELECT (p_partkey // 20) % 50 AS page, p_partkey AS id, (p_partkey % 7) / 10.0::DOUBLE AS x0, (p_partkey % 5) / 10.0::DOUBLE AS y0,
+    (p_partkey % 7) / 10.0::DOUBLE + (0.1::DOUBLE + (p_size % 10) / 40.0::DOUBLE) AS x1, (p_partkey % 5) / 10.0::DOUBLE + (0.1::DOUBLE + (p_size % 7) / 40.0::DOUBLE) AS y1 FROM part),
+p AS (SELECT g.page, g.id AS gt_id, c.id AS cand_id, greatest(0, least(g.x1, c.x1) - greatest(g.x0, c.x0)) * greatest(0, least(g.y1, c.y1) - greatest(g.y0, c.y0)) / greatest(1e-12, (g.x1 - g.x0) * (g.y1 - g.y0)) AS o,
+    (c.x0 + c.x1) / 2 BETWEEN g.x0 AND g.x1 AND (c.y0 + c.y1) / 2 BETWEEN g.y0 AND g.y1 AS inside FROM b g JOIN b c ON g.page = c.page AND g.id % 2 = 1 AND c.id % 2 = 0)
+SELECT page, gt_id, cand_id, round(o, 6), rank FROM (SELECT *, row_number() OVER (PARTITION BY gt_id ORDER BY round(o, 9) DESC, cand_id) AS rank FROM p WHERE o >= 0.002 OR inside) WHERE rank <= 8"""
+
+
+def test_nearby_outputs_by_share_of_the_reference(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{SF}/part.parquet'")
+    got = {(r.page, r.gt_id, r.cand_id, r.rank): r.score for r in registry.QUERIES["nearby_outputs"](spark, SF).collect()}
+    want = {(a, b, c, n): o for a, b, c, o, n in con.execute(NEARBY).fetchall()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_nearest_keeps_covering_and_centred_boxes(spark):
+    box = "page long, {} long, box struct<x0: double, y0: double, x1: double, y1: double>"
+    truth = spark.createDataFrame([(1, 1, (0.5, 0.5, 0.51, 0.51)), (1, 2, (10.0, 10.0, 20.0, 20.0))], box.format("gt_id"))
+    found = spark.createDataFrame([(1, 3, (0.0, 0.0, 9.0, 9.0)), (1, 4, (15.0, 15.0, 15.1, 15.1)), (1, 5, (19.99, 19.99, 30.0, 30.0))], box.format("cand_id"))
+    got = {(r.gt_id, r.cand_id): (r.score, r.rank) for r in matching.nearest(truth, found, ["page"]).collect()}
+    assert got.keys() == {(1, 3), (2, 4)} and got[1, 3] == (1.0, 1) and got[2, 4][0] == pytest.approx(1e-4)
