@@ -49,7 +49,7 @@ def pareto(df: DataFrame, quality: str, cost: str, tol: float = 1e-9) -> DataFra
     return df.join(best, cost).where((F.col(quality) >= F.col("_top") - tol) & (F.col("_before").isNull() | (F.col(quality) > F.col("_before") + tol))).drop("_top", "_before")
 
 
-def hash_bootstrap(df: DataFrame, keys: list[str], order: str, value: str, draws: int = 200) -> DataFrame:
+def hash_bootstrap(df: DataFrame, keys: list[str], order: str, value: str, draws: int = 10_000) -> DataFrame:
     """2.5 and 97.5 % bounds of resampled means. Draw r takes as its ith value the one at md5(r:i) mod n, on any engine alike."""
     w = Window.partitionBy(*keys)
     rows = df.withColumn("_at", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count("*").over(w))

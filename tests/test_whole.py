@@ -1,14 +1,17 @@
 """Registered queries do the whole job: small tables against brute force, and SQL written from the definitions."""
 
+import hashlib
 import random
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 from gradus.functions import metrics as M
-from gradus.operators import matching
+from gradus.operators import matching, stats
 from gradus.plans import registry
+from gradus.plans import views
 
 SF = "/root/testdata/sf0.001"
 
@@ -106,3 +109,25 @@ def test_nearest_keeps_covering_and_centred_boxes(spark):
     found = spark.createDataFrame([(1, 3, (0.0, 0.0, 9.0, 9.0)), (1, 4, (15.0, 15.0, 15.1, 15.1)), (1, 5, (19.99, 19.99, 30.0, 30.0))], box.format("cand_id"))
     got = {(r.gt_id, r.cand_id): (r.score, r.rank) for r in matching.nearest(truth, found, ["page"]).collect()}
     assert got.keys() == {(1, 3), (2, 4)} and got[1, 3] == (1.0, 1) and got[2, 4][0] == pytest.approx(1e-4)
+
+
+def test_bootstrap_makes_ten_thousand_draws(spark):
+    values = {"a": [3.0, 1.0, 4.0, 1.5, 9.0], "b": [2.0, 6.0, 5.0], "c": [7.0]}
+    df = spark.createDataFrame([(k, i, v) for k, own in values.items() for i, v in enumerate(own)], "category string, key long, score double")
+    for r in stats.hash_bootstrap(df, ["category"], "key", "score").collect():
+        own = values[r.category]
+        n = len(own)
+        means = [sum(own[int(hashlib.md5(f"{d}:{i}".encode()).hexdigest()[:8], 16) % n] for i in range(n)) / n for d in range(10_000)]
+        assert (r.ci_low, r.ci_high) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])))
+
+
+def test_bootstrap_query_makes_ten_thousand_draws(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
+    cells = con.execute(f"WITH {views.OBJECTS} SELECT category, tool * 10 + document AS key, avg(score) FROM o GROUP BY ALL ORDER BY ALL").fetchall()
+    rows = {r.category: r for r in registry.QUERIES["bootstrap_mean_ci"](spark, SF).collect()}
+    assert rows.keys() == {c for c, _, _ in cells}
+    category = min(rows)
+    own = np.array([v for c, _, v in cells if c == category])
+    at = np.array([[int(hashlib.md5(f"{d}:{i}".encode()).hexdigest()[:8], 16) % len(own) for i in range(len(own))] for d in range(10_000)])
+    assert (rows[category].ci_low, rows[category].ci_high) == pytest.approx(tuple(np.quantile(own[at].mean(axis=1), [0.025, 0.975])), abs=2e-6)
