@@ -295,12 +295,15 @@ def jaccard_components(df: DataFrame, n: int = 3, num: int = 90, den: int = 100,
     known = docs.where(F.col("doc_id").isNotNull())
     sized = scratch.save(sets_of(docs, n), "sets")
     same = sized.where("h1 is not null and doc_id is not null").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("many")).where("many > 1")
-    copies = sized.where("doc_id is not null").join(same, ["h1", "h2", "n_shingles"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    copies = scratch.save(copies.distinct(), "copies")
+    copies = sized.where("doc_id is not null").join(same, ["h1", "h2", "n_shingles"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"), "h1", "h2", "n_shingles")
+    copied = scratch.save(copies.distinct(), "copies")
+    copies = copied.select("a", "b")
     shared = scratch.save(candidate_edges(known, sized, n, classes, scratch), "shared")
     groups = components(shared.unionByName(copies), scratch, "groups")
-    # one document of each set stands for it
-    members = groups.join(copies.select(F.col("a").alias("node")), "node", "left_anti")
+    # one document of each set stands for it; a repeated doc_id stays if any of its sets is no copy
+    sets = sized.where("h1 is not null and doc_id is not null").groupBy(F.col("doc_id").alias("node")).agg(F.count_distinct("h1", "h2", "n_shingles").alias("sets"))
+    dropped = copied.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("copies")).join(sets, "node").where("copies = sets")
+    members = groups.join(dropped.select("node"), "node", "left_anti")
     several = members.groupBy("label").agg(F.count("*").alias("members")).where("members > 1")
     members = scratch.save(members.join(several, "label").select(F.col("node").alias("doc_id"), "label"), "members")
 
