@@ -19,9 +19,6 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "markov")
-#: What the models look at: whole runs of key characters, not too short, of digits and letters or of both cases.
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
-MIXED = re.compile(r"(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])|(?=[^A-Z]*[A-Z])(?=[^a-z]*[a-z]).*[a-z][A-Z]")
 
 SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 #: Ordinary parts of identifiers, paths and slugs, from which ordinary samples are put together.
@@ -35,37 +32,54 @@ PARTS = (
     "summary detail history archive backup source target local remote public private internal external main common shared utils helper "
     "international transformation understanding development environment information management organization communication"
 ).split()
+#: Common words and endings of four languages, from which long ordinary words and compounds are put together.
+WORDS = (
+    "the of and to in is that for it with as was on are by this be at from or have an which you not but they his her had were tion ing er ed ly ment ness ble ous est al re th an on "
+    "der die das und ist nicht ein eine mit auf von sich auch werden haben sein fuer dass wird bei oder einen dem den des ung lich keit heit sch chen zung ver ge be er en te ieren schaft "
+    "le la les des une dans est pour que qui sur avec par plus pas nous vous ont sont cette leur mais elle ment eux aux eur ais ent aire ique ette re de en ou "
+    "el los las una del que por con para como mas pero sus este esta son entre cuando muy sobre tambien hasta hay donde cion mente ado ida aje eza oso ia os as es ar er ir"
+).split()
 
 
 class MarkovPair:
-    """Second-order character chains of two classes, add-one smoothed; ratio(s) is the mean log-likelihood ratio a character."""
+    """Second-order character chains of two classes, smoothed by shorter contexts; ratio(s) is the log-likelihood ratio of
+    a string's distinct runs of three characters: a pattern that is only repeated says nothing new."""
 
     def __init__(self, random_strings: list[str], ordinary: list[str]):
         n = len(SYMBOLS)
         self.place = {c: i for i, c in enumerate(SYMBOLS)}
         logs = []
         for samples in (random_strings, ordinary):
-            two, one = np.full((n, n, n), 0.02), np.full((n, n), 0.5)
+            two, one, none = np.zeros((n, n, n)), np.zeros((n, n)), np.ones(n)
             for s in samples:
                 i = np.array([self.place[c] for c in s if c in self.place])
+                np.add.at(none, i, 1)
                 np.add.at(one, (i[:-1], i[1:]), 1)
                 np.add.at(two, (i[:-2], i[1:-1], i[2:]), 1)
-            base = one / one.sum(1, keepdims=True)
-            # each context of two characters falls back on the one-character chain by a weight of four samples
-            logs.append(np.log((two + 4 * base[None]) / (two.sum(2, keepdims=True) + 4)))
+            # each context falls back on the next shorter one by a weight of four samples
+            one = (one + 4 * none / none.sum()) / (one.sum(1, keepdims=True) + 4)
+            logs.append(np.log((two + 4 * one[None]) / (two.sum(2, keepdims=True) + 4)))
         self.log_ratio = logs[0] - logs[1]
 
     def ratio(self, s: str) -> float:
         i = np.array([self.place[c] for c in s])
-        return float(self.log_ratio[i[:-2], i[1:-1], i[2:]].mean()) if len(i) > 2 else 0.0
+        n = len(SYMBOLS)
+        return float(self.log_ratio.ravel()[np.unique((i[:-2] * n + i[1:-1]) * n + i[2:])].sum()) if len(i) > 2 else 0.0
 
 
 def samples(n: int = 6000, seed: int = 11) -> tuple[list[str], list[str]]:
-    """Labelled strings: random ones of several alphabets, and ordinary identifiers, paths, slugs and versions."""
+    """Labelled strings: random ones of several alphabets, and ordinary identifiers, paths, slugs, versions, words and numbers."""
     rng = np.random.default_rng(seed)
     alphabets = ("0123456789abcdef", "0123456789ABCDEF", SYMBOLS[:62], SYMBOLS[26:62], SYMBOLS[:26] + SYMBOLS[52:62], SYMBOLS[:64], SYMBOLS[:62] + "_-")
     random_strings = ["".join(np.array(list(a))[rng.integers(0, len(a), rng.integers(16, 65))]) for a in alphabets for _ in range(n // len(alphabets))]
     ordinary = []
+    for i in range(n):  # words, numbers
+        if i % 8 == 0:
+            s = "".join(np.array(list("0123456789"))[rng.integers(0, 10, rng.integers(8, 25))])
+        else:
+            s = "".join(WORDS[j] for j in rng.integers(0, len(WORDS), rng.integers(2, 9)))
+            s = s.upper() if i % 8 == 1 else s.capitalize() if i % 8 < 4 else s
+        ordinary.append(s)
     for _ in range(n):
         parts = [PARTS[i] for i in rng.integers(0, len(PARTS), rng.integers(2, 6))]
         if rng.random() < 0.7:
@@ -88,10 +102,14 @@ def default_model() -> MarkovPair:
 
 
 class Scanner:
-    """All spans of a text: the base kinds, and runs of key characters that the models call random and no base span touches."""
+    """All spans of a text: the base kinds, and runs of key characters that the models call random and no base span touches.
+
+    Runs of fewer than `shortest` characters say too little; of the others the log-likelihood ratio alone decides, whatever they are made of.
+    """
 
-    def __init__(self, model: MarkovPair | None = None, least: float = 0.05):
+    def __init__(self, model: MarkovPair | None = None, least: float = 16.0, shortest: int = 12):
         self.model, self.least = model or default_model(), least
+        self.runs = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % shortest)
 
     def spans(self, text: str) -> list[tuple[int, int, int, int]]:
         """(start, kind, end, where the secret itself begins), by start, then kind."""
@@ -101,9 +119,9 @@ class Scanner:
         out += [(m.start(), 1, m.end(), m.start()) for m in ACCESS.finditer(text)]
         out += [(m.start(), 2, m.end(), m.start()) for m in HEX.finditer(text)]
         base = list(out)
-        for m in RUN.finditer(text):
+        for m in self.runs.finditer(text):
             a, b = m.span()
-            if MIXED.match(m[0]) and not any(a < e and s < b for s, _, e, _ in base) and self.model.ratio(m[0]) > self.least:
+            if not any(a < e and s < b for s, _, e, _ in base) and self.model.ratio(m[0]) > self.least:
                 out.append((a, 3, b, a))
         return sorted(out)
 
@@ -128,8 +146,8 @@ def redacted(text: str, spans, mark: str = "[SECRET]") -> str:
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: MarkovPair | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row.
 
-    Whole texts, offsets in code points, end exclusive. A null or empty text has no spans; repeated rows stay repeated.
-    One pass without a shuffle.
+    Whole texts of any length, offsets in code points, end exclusive. A null or empty text has no spans; repeated rows
+    stay repeated, rows without id too; extra columns are not read; no rows in, none out. One pass without a shuffle.
     """
     model = model or default_model()
 
