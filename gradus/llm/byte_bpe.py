@@ -12,7 +12,7 @@ from gradus.llm.tokens import ByteBpe, kept, slices
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = True) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit), text, and with offsets the first and after-last character of each token.
+    """doc_id, ids (little-endian unsigned 32-bit), and with offsets the first and after-last character of each token.
 
     Whole texts; null and empty texts have no ids; repeated rows stay repeated; no rows in, none out. One pass without
     a shuffle: a lost executor's partitions are read again.
@@ -40,14 +40,14 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, digests: bool = False)
         bpe = kept(ByteBpe, ranks_path, pattern)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
-            ids = [x or b"" for x in batch.column("ids").to_pylist()]
-            raw = map(bpe.decode, ids)
-            if digests:
-                rows = [(len(i) // 4, sha(i), sha(r)) for i, r in zip(ids, raw)]
-                out = dict(zip(("n_tokens", "ids_sha256", "decoded_sha256"), map(list, zip(*rows)) if rows else ([], [], [])))
-                out = {"n_tokens": pa.array(out["n_tokens"], pa.int64()), **{k: pa.array(out[k], pa.string()) for k in ("ids_sha256", "decoded_sha256")}}
-            else:
-                out = {"bytes": pa.array(list(raw), pa.binary())}
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), **out})
+            for part in slices(batch, column="ids"):
+                ids = [x or b"" for x in part.column("ids").to_pylist()]
+                raw = map(bpe.decode, ids)
+                if digests:
+                    rows = [(len(i) // 4, sha(i), sha(r)) for i, r in zip(ids, raw)]
+                    out = {k: pa.array([r[j] for r in rows], pa.string() if j else pa.int64()) for j, k in enumerate(("n_tokens", "ids_sha256", "decoded_sha256"))}
+                else:
+                    out = {"bytes": pa.array(list(raw), pa.binary())}
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), **out})
 
     return df.select("doc_id", "ids").mapInArrow(run, "doc_id long, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "bytes binary"))

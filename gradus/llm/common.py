@@ -39,8 +39,18 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of whole texts of at most `rows` rows in this session, unless it has a smaller setting."""
+    if int(spark.conf.get(BATCH, "10000")) > rows:
+        spark.conf.set(BATCH, str(rows))
+
+
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns that are read, so extra columns (of whatever name) can't clash; a null text is empty."""
+    small_batches(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
@@ -52,7 +62,7 @@ def few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
 class WordHashes(dict):
     """word (bytes) -> stable 64-bit hash; forgets all when full, which costs time only."""
 
-    LIMIT = 1_000_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -122,18 +122,10 @@ def resample(df: DataFrame, labels: DataFrame, bits: int = 16, label_rows: int =
     ratio = np.log((target + prior) / (expected + prior)) if target.any() else np.zeros(len(raw))
     known = scored(sample.where(~fits & (F.col("good") | F.col("bad"))), ratio, bits, seed, temperature, ["doc_id", "good"]).select("log_weight", "good").toPandas()  # label_rows at most
     cut = best_cut(known["log_weight"].to_numpy(float), known["good"].to_numpy(bool)) if target.any() else -np.inf
-    everything = df.withColumns({}) if keep_columns else docs
+    carried = [f"c{i}" for i in range(len(df.columns))] if keep_columns else ["doc_id"]
     if keep_columns:
-        names = df.columns
-        held = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        weights = scratch.save(scored(docs, ratio, bits, seed, temperature, ["doc_id"]).select("doc_id", "log_weight", "gumbel_key", "sort_key"), "weights")
-    else:
-        weights = scratch.save(scored(docs, ratio, bits, seed, temperature, ["doc_id"]), "weights")
+        docs = df.toDF(*carried).withColumns({"doc_id": F.col(carried[df.columns.index(id_col)]).cast("long"), "text": F.coalesce(carried[df.columns.index(text_col)], F.lit(""))})
+    weights = scratch.save(scored(docs, ratio, bits, seed, temperature, carried), "weights")
     k = weights.where(F.col("log_weight") >= float(cut)).count()
-    if not k:
-        return everything.limit(0) if keep_columns else weights.select("doc_id", "log_weight", "gumbel_key", F.lit(True).alias("kept")).limit(0)
-    least = kth_largest(weights, k)
-    if not keep_columns:
-        return weights.where(F.col("sort_key") >= least).select("doc_id", "log_weight", "gumbel_key", F.lit(True).alias("kept"))
-    again = scored(held, ratio, bits, seed, temperature, [f"c{i}" for i in range(len(names))])
-    return again.where(F.col("sort_key") >= least).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+    drawn = weights.where(F.col("sort_key") >= kth_largest(weights, k)) if k else weights.limit(0)
+    return drawn.select(*carried).toDF(*df.columns) if keep_columns else drawn.select("doc_id", "log_weight", "gumbel_key", F.lit(True).alias("kept"))

@@ -23,7 +23,7 @@ def byte_chars() -> list[str]:
 class Chunks(dict):
     """chunk -> made(chunk), kept in two generations: when the young one is full it becomes the old one."""
 
-    def __init__(self, make, limit: int = 300_000, long: int = 64):
+    def __init__(self, make, limit: int = 100_000, long: int = 64):
         self.make, self.limit, self.long, self.old = make, limit, long, {}
 
     def __missing__(self, key):
@@ -63,7 +63,7 @@ class WordBpe:
         self.model = self.lib.model
         self.split = re.compile(WORD_PATTERN.replace(r"\p{L}", L).replace(r"\p{N}", N)).findall
         self.chars = dict(enumerate(byte_chars()))
-        self.pieces, self.chunks = Chunks(self.piece, 400_000), Chunks(self.chunk, 50_000)
+        self.pieces, self.chunks = Chunks(self.piece), Chunks(self.chunk, 25_000)
 
     def piece(self, p: str) -> bytes:
         shown = p if p.isascii() else p.encode().decode("latin-1").translate(self.chars)
@@ -109,7 +109,7 @@ class ByteBpe:
         self.model = self.lib.model
         self.split = re.compile(pattern.replace(r"[^\s\p{L}\p{N}]", f"[^\\s{L}{N}]").replace(r"\p{L}", f"[{L}]").replace(r"\p{N}", f"[{N}]")).findall
         self.chars = dict(enumerate(chars))
-        self.pieces = Chunks(self.piece, 400_000)
+        self.pieces = Chunks(self.piece)
         # the byte table reversed: characters of a vocabulary entry back to its bytes
         back = {c: b for b, c in enumerate(chars)}
         self.table = [b""] * (max(ranks.values()) + 1)
@@ -148,11 +148,11 @@ def kept(kind, *args):
     return _kept[kind, args]
 
 
-def slices(batch, budget: int = 8_000_000):
-    """Cut an Arrow batch so that each part holds about budget bytes of its text column, or one row."""
+def slices(batch, budget: int = 2_000_000, column: str = "text"):
+    """Cut an Arrow batch so that each part holds about budget bytes of its text (or other) column, or one row."""
     import pyarrow.compute as pc
 
-    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), np.int64)
     at, total = 0, 0
     for i, n in enumerate(sizes):
         if i > at and total + n > budget:
