@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from gradus.llm.common import MIX, Scratch, WordHashes, components, few, gram_hashes, id_text, mix64
 from gradus.llm.tokens import slices
 
-SPARE = 3  # fragments beyond the pigeonhole's need, so that empty fragments seldom have to be joined
+
+def spare(differ: int) -> int:
+    """Fragments beyond the pigeonhole's need: they grow with the fragments, as the empty ones do, and outnumber these but by rare chance."""
+    return 4 + differ // 6
 
 
 def shingles(words: WordHashes, text: str, n: int) -> np.ndarray:
@@ -24,7 +27,7 @@ class Classes:
 
     Linked sets differ by at most (den - num) / (den + num) of their sizes' sum and their sizes lie in one class or in
     two neighbouring ones. A class whose largest size is s cuts the order of hashes into D(s) + 1 + SPARE fragments of
-    equal width; D(s) differing n-grams spoil D(s) fragments at most, so two linked sets agree wholly on more than
+    equal width, SPARE = spare(D(s)); D(s) differing n-grams spoil D(s) fragments at most, so two linked sets agree wholly on more than
     SPARE fragments.
     """
 
@@ -35,27 +38,37 @@ class Classes:
         self.sizes = np.array(sizes, np.int64)
         self.num, self.den = num, den
 
-    def fragments(self, c: int) -> int:
+    def fragments(self, c: int) -> tuple[int, int]:
+        """How many fragments a class has and how many of them may differ."""
         differ = int(2 * self.sizes[c] * (self.den - self.num) // (self.den + self.num))
-        return differ + 1 + SPARE if differ else 0
+        return (differ + 1 + spare(differ), differ) if differ else (0, 0)
+
+    def keys(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys, and 1 for the first of each class: a hash of (class, fragment, its n-grams) for the first D + 1 fragments with n-grams, in the set's class and the next one.
 
-    def keys(self, grams: np.ndarray) -> np.ndarray:
-        """A hash of (class, fragment, its n-grams) for each fragment with n-grams, in the set's class and the next one."""
-        out = []
+        Of two linked sets, take the one whose D + 1 fragments end earlier: one of them agrees, and as it isn't empty and
+        lies before the other's end, it is among the other's first ones too. A set with fewer than D + 1 such
+        fragments gives a key for each of them and for each empty one.
+        """
+        out, starts = [], []
         c = int(np.searchsorted(self.sizes, len(grams)))
         for k in (c, c + 1):
-            cuts = self.fragments(k)
+            cuts, differ = self.fragments(k)
             if not cuts:
                 continue  # so small that only equal sets are linked
             frag = ((grams >> np.uint64(32)) * np.uint64(cuts)) >> np.uint64(32)
             at = np.flatnonzero(np.diff(frag, prepend=np.uint64(cuts)))
             sums = np.add.reduceat(mix64(grams), at)  # an order-free digest of a fragment's n-grams
             tag = np.uint64(k) << np.uint64(40)
-            out.append(mix64(mix64(sums ^ mix64(frag[at] + tag)) + np.uint64(k)))
-            if cuts - len(at) > SPARE:  # the fragments that agree could all be empty
+            starts.append(sum(map(len, out)))
+            out.append(mix64(mix64(sums ^ mix64(frag[at] + tag)) + np.uint64(k))[: differ + 1])
+            if len(at) <= differ:  # the fragments that agree could all be empty
                 empty = np.setdiff1d(np.arange(cuts, dtype=np.uint64), frag[at])
                 out.append(mix64(mix64(empty + tag) + np.uint64(1)))
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        keys = np.concatenate(out) if out else np.zeros(0, np.uint64)
+        first = np.zeros(len(keys), np.int8)
+        first[starts] = 1
+        return keys, first
 
 
 def bitmap(grams: np.ndarray) -> bytes:
@@ -101,7 +114,8 @@ WIDE = 40  # a row's spread: how far from it the documents that it stands for ar
 
 
 def key_rows(docs: DataFrame, n: int, classes: Classes) -> DataFrame:
-    """(key, a, spread): which document holds which fragment key; spread 0 for a document that stands for itself alone.
+    """(key, a, spread, lead): which document holds which fragment key; spread 0 for a document that stands for itself
+    alone; lead 1 for a set's first key in each class, and for ties.
 
     Within a batch, documents of one key with bitmaps of one width that differ by at most a quarter of what links allow
     from the first such one are tied to that one and not sent on, so a key that a large group of near copies holds
@@ -112,13 +126,13 @@ def key_rows(docs: DataFrame, n: int, classes: Classes) -> DataFrame:
     def run(batches):
         words = WordHashes()
         for batch in batches:
-            for part in slices(batch, 16_000_000):
-                doc, key, size, wide, bits = [], [], [], [], []
+            for part in slices(batch, 4_000_000):
+                doc, key, leads, size, wide, bits = [], [], [], [], [], []
                 seen: dict[tuple[bytes, bytes], int] = {}
                 ties: set[tuple[int, int]] = set()
                 for d, t in sorted(zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist())):
                     grams = shingles(words, t, n)
-                    k = classes.keys(grams)
+                    k, first_keys = classes.keys(grams)
                     if not len(k):
                         continue  # no n-grams, or so few that only equal sets are linked
                     own = bitmap(grams)
@@ -126,6 +140,7 @@ def key_rows(docs: DataFrame, n: int, classes: Classes) -> DataFrame:
                         ties.add((first, d))  # the same throughout: most often copies
                         continue
                     key.append(k)
+                    leads.append(first_keys)
                     doc.append(d)
                     size.append(len(grams))
                     wide.append(8 * len(own))
@@ -140,7 +155,6 @@ def key_rows(docs: DataFrame, n: int, classes: Classes) -> DataFrame:
                 many = np.diff(np.append(new, len(key)))
                 send = np.ones(len(key), bool)
                 spread = np.zeros(len(key), np.int64)
-                known: dict[tuple[int, int], int] = {}
                 for start, stop in zip(new[many > 1].tolist(), (new + many)[many > 1].tolist()):
                     heads: list[list[int]] = []  # place among the rows, document, radius, largest size
                     for r, x in enumerate(at[start:stop].tolist(), start):
@@ -148,9 +162,7 @@ def key_rows(docs: DataFrame, n: int, classes: Classes) -> DataFrame:
                         for h in heads:
                             z = h[1]
                             if wide[z] == wide[x]:
-                                if (apart := known.get((z, x))) is None:
-                                    apart = known[z, x] = (bits[z] ^ bits[x]).bit_count()
-                                if apart <= near:
+                                if (apart := (bits[z] ^ bits[x]).bit_count()) <= near:
                                     h[2], h[3] = max(h[2], apart), max(h[3], size[x])
                                     send[r] = False
                                     if doc[z] != doc[x]:
@@ -164,65 +176,79 @@ def key_rows(docs: DataFrame, n: int, classes: Classes) -> DataFrame:
                 pairs = np.array(sorted(ties), np.int64).reshape(-1, 2)
                 tie = mix64(mix64(pairs[:, 0].astype(np.uint64)) * MIX + pairs[:, 1].astype(np.uint64))
                 keys = np.concatenate([key[send], tie, tie]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate([ids[send], pairs[:, 0], pairs[:, 1]])), pa.array(np.concatenate([spread[send], np.zeros(2 * len(pairs), np.int64)]))], names=["key", "a", "spread"])
+                lead = np.concatenate([np.concatenate(leads)[order][send], np.ones(2 * len(pairs), np.int8)])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate([ids[send], pairs[:, 0], pairs[:, 1]])), pa.array(np.concatenate([spread[send], np.zeros(2 * len(pairs), np.int64)])), pa.array(lead)], names=["key", "a", "spread", "lead"])
 
-    return docs.mapInArrow(run, "key long, a long, spread long")
+    return docs.mapInArrow(run, "key long, a long, spread long, lead byte")
 
 
 def candidate_edges(docs: DataFrame, sized: DataFrame, n: int, classes: Classes, scratch: Scratch, block: int = 1024) -> DataFrame:
-    """(a, b): a spanning forest, bucket by bucket, of the pairs that share a fragment key and whose bitmaps allow a link.
+    """(a, b): edges that connect all pairs that share a fragment key and whose bitmaps allow a link, few of them spare.
 
     A bucket is the documents of one key; buckets with the same documents count once. Bitmaps meet in blocks of at most
     2 * block rows: a larger bucket is cut by a hash into chunks, and each pair of chunks is a block. What a row stands
     for besides itself is at most its radius away, so two rows may hold a link if their bitmaps differ by no more than
     links of their largest sizes allow and both radii.
+
+    Near copies share most of their keys, so the buckets of leading keys go first; in the other buckets only documents
+    that these left apart are compared and connected.
     """
     num, den = classes.num, classes.den
     own = Window.partitionBy("key")
-    rows = key_rows(docs, n, classes).select("key", "a", "spread", F.count("*").over(own).alias("many"), F.bit_xor(F.xxhash64("a", "spread")).over(own).alias("bucket"))
-    rows = scratch.save(rows.where("many > 1").select("bucket", "many", "a", "spread").distinct(), "buckets")
-    held = rows.join(sized.where("bits is not null").select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("size"), "bits"), "a")
-    held = held.withColumn("chunks", F.ceil(F.col("many") / block).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("a"), F.col("chunks")).cast("int"))
-    held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
-    held = held.select("bucket", "many", "i", "j", "a", "spread", "chunk", "size", "bits").repartition("bucket", "many", "i", "j").sortWithinPartitions("bucket", "many", "i", "j", "chunk")
-
-    def forest(rows: list[tuple]) -> list[tuple[int, int]]:
-        parent: dict[int, int] = {}
+    rows = key_rows(docs, n, classes).select("key", "a", "spread", "lead", F.count("*").over(own).alias("many"), F.bit_xor(F.xxhash64("a", "spread")).over(own).alias("bucket"))
+    rows = rows.where("many > 1").groupBy("bucket", "many", "a", "spread").agg(F.max("lead").alias("lead"))
+    rows = scratch.save(rows, "buckets")
 
+    def differ(rows: list[tuple], parent: dict[int, int]):
         def root(x: int) -> int:
             while (up := parent.setdefault(x, x)) != x:
                 parent[x] = x = parent[up]
             return x
 
-        out = []
         across = rows[0][2] != rows[0][3]
-        nodes = [(a, chunk, (spread & ((1 << WIDE) - 1)) or size, spread >> WIDE, 8 * len(bits), int.from_bytes(bits, "little")) for _, _, _, _, a, spread, chunk, size, bits in rows]
-        for k, (a, chunk, size, radius, wide, bits) in enumerate(nodes):
-            for b, chunk_b, size_b, radius_b, wide_b, bits_b in nodes[:k]:
-                if across and chunk == chunk_b or a == b or (up := root(a)) == (up_b := root(b)):
-                    continue
-                if differing(bits, bits_b, wide, wide_b) <= (size + size_b) * (den - num) // (den + num) + radius + radius_b:
-                    parent[max(up, up_b)] = min(up, up_b)
-                    out.append((a, b))
-        return out
+        apart: dict[int, list[tuple]] = {}  # rows seen so far by what they are connected to
+        for _, _, _, _, a, spread, chunk, size, label, bits in rows:
+            at, most, radius, wide, bits = root(label), (spread & ((1 << WIDE) - 1)) or size, spread >> WIDE, 8 * len(bits), int.from_bytes(bits, "little")
+            for other in [k for k in apart if k != at]:
+                for b, chunk_b, most_b, radius_b, wide_b, bits_b in apart[other]:
+                    if (not across or chunk != chunk_b) and differing(bits, bits_b, wide, wide_b) <= (most + most_b) * (den - num) // (den + num) + radius + radius_b:
+                        yield a, b
+                        low, high = min(at, other), max(at, other)
+                        parent[high] = low
+                        apart[low] = apart.get(low, []) + apart.pop(high, [])
+                        at = low
+                        break
+            apart.setdefault(at, []).append((a, chunk, most, radius, wide, bits))
 
     def run(batches):
-        last, rows, out = None, [], set()
+        last, rows, out = None, [], []
+        parent: dict[int, int] = {}  # of all the task's buckets so far: what is connected isn't connected again
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if row[:4] != last:
                     if len(rows) > 1:
-                        out.update(forest(rows))
+                        out.extend(differ(rows, parent))
                     last, rows = row[:4], []
                 rows.append(row)
             if len(out) > 100_000:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
-                out = set()
+                out = []
         if len(rows) > 1:
-            out.update(forest(rows))
+            out.extend(differ(rows, parent))
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return held.mapInArrow(run, "a long, b long").distinct()
+    def connected(rows: DataFrame, label: str) -> DataFrame:
+        held = rows.join(sized.where("bits is not null").select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("size"), "bits"), "a")
+        held = held.withColumn("chunks", F.ceil(F.col("many") / block).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("a"), F.col("chunks")).cast("int"))
+        held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
+        held = held.select("bucket", "many", "i", "j", "a", "spread", "chunk", "size", F.expr(label).alias("label"), "bits")
+        return held.repartition("bucket", "many", "i", "j").sortWithinPartitions("bucket", "many", "i", "j", "chunk").mapInArrow(run, "a long, b long")
+
+    first = scratch.save(connected(rows.where("lead = 1"), "a").distinct(), "first")
+    met = components(first, scratch, "met").select(F.col("node").alias("a"), "label")
+    rest = rows.where("lead = 0").join(met, "a", "left").withColumn("label", F.coalesce("label", "a"))
+    apart = rest.groupBy("bucket", "many").agg(F.count_distinct("label").alias("labels")).where("labels > 1").select("bucket", "many")
+    return first.unionByName(connected(rest.join(apart, ["bucket", "many"], "left_semi"), "label"))
 
 
 def overlaps(sets: list[np.ndarray], rows: range, cols: range, width: int = 4096) -> np.ndarray:
