@@ -13,7 +13,7 @@ from gradus.functions.metrics import box_area, box_iou, box_ios, box_overlap
 def pair_scores(truth: DataFrame, found: DataFrame, keys: list[str], least: float = 0.10) -> DataFrame:
     """Candidate pairs of equal keys whose boxes overlap enough: keys, gt_id, cand_id, score."""
     pairs = truth.select(*keys, "gt_id", F.col("box").alias("gt_box")).join(found.select(*keys, "cand_id", F.col("box").alias("cand_box")), keys)
-    return pairs.withColumn("score", F.round(box_iou(F.col("gt_box"), F.col("cand_box")), 9)).where(F.col("score") >= least).select(*keys, "gt_id", "cand_id", "score")
+    return pairs.withColumn("score", box_iou(F.col("gt_box"), F.col("cand_box"))).where(F.col("score") >= least - 1e-12).select(*keys, "gt_id", "cand_id", "score")
 
 
 def owners(truth: DataFrame, found: DataFrame, keys: list[str], least: float = 0.5) -> DataFrame:
