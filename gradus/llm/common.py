@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,6 +75,67 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: Base of the word hashes (odd, so powers can be undone modulo 2 ** 64), and 64 random bits for each byte, upper-case ASCII as lower.
+BASE = 0x9FB21C651E98DF25
+_bits = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
+_bits[0x41:0x5B] = _bits[0x61:0x7B]
+_space = np.zeros(256, bool)
+_space[[0x20, *range(0x09, 0x0E)]] = True
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+PIECE = 1 << 20  # bytes that are hashed at once
+
+
+def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse, n at least."""
+    if len(_powers[0]) < n:
+        for k, b in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            step = np.full(max(n, PIECE + 1), b, np.uint64)
+            step[0] = 1
+            _powers[k] = np.multiply.accumulate(step)
+    return _powers[0], _powers[1]
+
+
+def _piece(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    up, down = _grown(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_bits[data] * up[: len(data)], out=sums[1:])
+    return (sums[ends] - sums[starts]) * down[starts]
+
+
+def word_hashes(column) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of an Arrow text column without nulls, in order, and how many each text has.
+
+    Words are [^\\x20\\x09-\\x0D]+ of the whole text with A-Z lower-cased. A word's hash is a polynomial of its bytes, taken from
+    prefix sums over pieces of about a megabyte, so no word is handled alone; a longer word is summed block by block.
+    """
+    kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
+    _, places, raw = column.buffers()
+    offsets = np.frombuffer(places, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    word = ~_space[data]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[offsets] = True  # a text begins
+    inner = np.zeros(len(data) + 1, bool)  # inner[i]: places i - 1 and i lie in one word
+    inner[1:-1] = word[1:] & word[:-1] & ~cut[1:-1]
+    starts, ends = np.flatnonzero(word & ~inner[:-1]), np.flatnonzero(word & ~inner[1:]) + 1
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        stop = max(at + 1, int(np.searchsorted(ends, starts[at] + PIECE, "right")))
+        first, last = starts[at], ends[stop - 1]
+        if last - first <= PIECE:
+            out[at:stop] = _piece(data[first:last], starts[at:stop] - first, ends[at:stop] - first)
+        else:
+            total = 0
+            for k in range(first, last, PIECE):
+                block = data[k : min(last, k + PIECE)]
+                total += int(_piece(block, np.zeros(1, np.int64), np.array([len(block)]))[0]) * pow(BASE, int(k - first), 1 << 64)
+            out[at] = total % (1 << 64)
+        at = stop
+    return mix64(out), np.diff(np.searchsorted(starts, offsets))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of uint64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradus.llm.common import MIX, Scratch, WordHashes, components, few, gram_hashes, id_text, mix64
+from gradus.llm.common import MIX, Scratch, components, few, gram_hashes, id_text, mix64, word_hashes
 from gradus.llm.tokens import slices
 
 
@@ -17,9 +17,11 @@ def spare(differ: int) -> int:
     return 4 + differ // 6
 
 
-def shingles(words: WordHashes, text: str, n: int) -> np.ndarray:
-    """Sorted hashes of the distinct n-word shingles; words are ASCII-lower-cased and end at ASCII white space."""
-    return np.unique(gram_hashes(words.of(text.encode().lower().split()), n))
+def shingles(texts, n: int) -> list[np.ndarray]:
+    """For each text of an Arrow column, the sorted hashes of its distinct n-word shingles."""
+    h, size = word_hashes(texts)
+    ends = np.cumsum(size)
+    return [np.unique(gram_hashes(h[e - s : e], n)) for s, e in zip(size.tolist(), ends.tolist())]
 
 
 class Classes:
@@ -95,10 +97,9 @@ def sets_of(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, n_shingles, two hashes of the whole set and its bitmap (null for an empty one)."""
 
     def run(batches):
-        words = WordHashes()
         for batch in batches:
             for part in slices(batch):
-                grams = [shingles(words, t, n) for t in part.column("text").to_pylist()]
+                grams = shingles(part.column("text"), n)
                 size = np.array([len(g) for g in grams], np.int64)
                 with np.errstate(over="ignore"):
                     one = np.array([mix64(g).sum(dtype=np.uint64) for g in grams], np.uint64).astype(np.int64)
@@ -124,14 +125,14 @@ def key_rows(docs: DataFrame, n: int, classes: Classes) -> DataFrame:
     num, den = classes.num, classes.den
 
     def run(batches):
-        words = WordHashes()
         for batch in batches:
             for part in slices(batch, 4_000_000):
                 doc, key, leads, size, wide, bits = [], [], [], [], [], []
                 seen: dict[tuple[bytes, bytes], int] = {}
                 ties: set[tuple[int, int]] = set()
-                for d, t in sorted(zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist())):
-                    grams = shingles(words, t, n)
+                ids, sets = part.column("doc_id").to_pylist(), shingles(part.column("text"), n)
+                for d, i in sorted(zip(ids, range(len(ids)))):
+                    grams = sets[i]
                     k, first_keys = classes.keys(grams)
                     if not len(k):
                         continue  # no n-grams, or so few that only equal sets are linked
@@ -334,10 +335,9 @@ def jaccard_components(df: DataFrame, n: int = 3, num: int = 90, den: int = 100,
     members = scratch.save(members.join(several, "label").select(F.col("node").alias("doc_id"), "label"), "members")
 
     def grams(batches):
-        words = WordHashes()
         for batch in batches:
             for part in slices(batch):
-                own = [shingles(words, t, n) for t in part.column("text").to_pylist()]
+                own = shingles(part.column("text"), n)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array([len(g) for g in own], pa.int64()), pa.array([g.tobytes() for g in own], pa.binary())], names=["doc_id", "label", "size", "grams"])
 
     texts = known.join(few(members), "doc_id").select("doc_id", "label", "text")
