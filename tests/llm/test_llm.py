@@ -353,41 +353,38 @@ def test_lm_score(quality):
     assert rows[9000].n_tokens == 0 and rows[9000].score is None and len(rows) == 402
     good = [rows[i].score for i in range(400) if i not in bad]
     assert max(good) < min(rows[i].score for i in bad)
-    # one document by hand
-    sample = [r for r in df.join(labels.where("quality = 1"), "doc_id").collect()]
+    # all documents by hand
     own, every = collections.Counter(), collections.Counter()
-    for r in sample:
-        w = r.text.split()
-        own.update(w)
-        own.update(zip(w, w[1:]))
-        own["all"] += len(w)
-    for r in df.collect():
-        w = (r.text or "").lower().split()
-        every.update(w)
-        every.update(zip(w, w[1:]))
-        every["all"] += len(w)
+    for counts, table in ((own, df.join(labels.where("quality = 1"), "doc_id")), (every, df)):
+        for r in table.collect():
+            w = (r.text or "").lower().split()
+            counts.update(w)
+            counts.update(zip(w, w[1:]))
+            counts["all"] += len(w)
     vocab = {k for k, n in every.items() if n > 1 and isinstance(k, str) and k != "all"}
+    lone = sum(n for k, n in every.items() if isinstance(k, str) and k not in vocab and k != "all")
     twice = {k for k, n in own.items() if n > 1 and k != "all"}
-    size = len(vocab) + 1
 
-    def loss(c, counts, text):
+    def losses(text, listed):
+        least = max(2, -(-every["all"] // listed))
+        held_words = {k for k in vocab if every[k] >= least or k in twice}
         w = text.lower().split()
-        held = collections.Counter({k: c[k] for k in vocab if counts(k)})
-        unknown = c["all"] - sum(held.values())
-        n = lambda x: held[x] if x in vocab else unknown
-        out = [(n(w[0]) + 1) / (c["all"] + size)]
-        for a, b in zip(w, w[1:]):
-            out.append(0.4 * (n(b) + 1) / (c["all"] + size) + (0.6 * c[a, b] / n(a) if (a, b) in twice else 0))
-        return -np.mean(np.log(out))
-
-    for listed in (1 << 18, 20):  # all words listed, and most of them met by the join
-        rows = {r.doc_id: r for r in lm_score.cross_entropy_difference(df, labels, listed_words=listed).collect()}
+        mine = lambda k: own[k] if k in twice else 0
+        base = [((every[x] if x in vocab else lone) + 1) / (every["all"] + len(vocab) + 1) for x in w]
+        held = [0.9 * mine(x) / own["all"] + 0.1 * p for x, p in zip(w, base)]
+        pair = lambda c, a, b: 0.6 * c((a, b)) / c(a) if c(a) and c((a, b)) else 0
+        theirs = lambda k: every[k] if every[k] > 1 and (k in held_words if isinstance(k, str) else held_words.issuperset(k)) else 0
+        target = [held[0]] + [0.4 * p + pair(mine, a, b) for a, b, p in zip(w, w[1:], held[1:])]
+        background = [base[0]] + [0.4 * p + pair(theirs, a, b) for a, b, p in zip(w, w[1:], base[1:])]
+        return -np.mean(np.log(target)), -np.mean(np.log(background))
+
+    for listed, often in ((1 << 18, 1 << 10), (20, 1 << 10), (20, 4), (1 << 18, 8)):  # all words listed, and most of them met by the join
+        rows = {r.doc_id: r for r in lm_score.cross_entropy_difference(df, labels, listed_words=listed, frequent_words=often).collect()}
         assert len(rows) == 402
         for r in df.collect():
             if r.text and r.text.split():
                 found = rows[r.doc_id]
-                assert abs(found.target_loss - loss(own, twice.__contains__, r.text)) < 1e-9
-                assert abs(found.background_loss - loss(every, lambda k: True, r.text)) < 1e-9
+                assert (found.target_loss, found.background_loss) == pytest.approx(losses(r.text, listed), abs=1e-6)
                 assert abs(found.score - found.target_loss + found.background_loss) < 1e-12
     none = lm_score.cross_entropy_difference(df, labels.limit(0)).where("n_tokens > 0").collect()
     assert none and all(r.score == 0 for r in none)
