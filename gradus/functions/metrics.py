@@ -10,14 +10,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 
+def let(body, **values: Column) -> Column:
+    """body of a struct of values, each of which is worked out once however often body names it."""
+    return F.element_at(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body), 1)
+
+
 def prf(tp: Column, predicted: Column, reference: Column) -> Column:
     """struct(precision, recall, f1) of counts; nothing predicted and nothing expected is perfect."""
-    p = F.when((predicted == 0), 1.0).otherwise(F.try_divide(tp.cast("double"), predicted))
-    r = F.when((reference == 0), 1.0).otherwise(F.try_divide(tp.cast("double"), reference))
-    p = F.when((predicted == 0) & (reference > 0), 1.0).otherwise(p)
-    p = F.when((reference == 0) & (predicted > 0), 0.0).otherwise(p)
-    r = F.when((predicted == 0) & (reference > 0), 0.0).otherwise(r)
-    return F.struct(p.alias("precision"), r.alias("recall"), F.when(p + r == 0, 0.0).otherwise(2 * p * r / (p + r)).alias("f1"))
+
+    def body(v):
+        p = F.when(v["p"] > 0, F.when(v["r"] > 0, v["t"] / v["p"]).otherwise(0.0)).otherwise(1.0)
+        r = F.when(v["r"] > 0, F.when(v["p"] > 0, v["t"] / v["r"]).otherwise(0.0)).otherwise(1.0)
+        f1 = F.when(v["p"] + v["r"] == 0, 1.0).otherwise(2 * v["t"] / F.greatest(v["p"] + v["r"], F.lit(1.0)))
+        return F.when(v["t"].isNotNull(), F.struct(p.alias("precision"), r.alias("recall"), f1.alias("f1")))
+
+    return let(body, t=tp.cast("double"), p=predicted.cast("double"), r=reference.cast("double"))
 
 
 @F.pandas_udf(IntegerType())
@@ -36,7 +43,7 @@ def set_prf(reference: Column, predicted: Column) -> Column:
 
 def error_rate(distance: Column, reference_length: Column, predicted_length: Column) -> Column:
     """Distance by the reference's length; may exceed 1; of an empty reference 0 or 1."""
-    return F.when(reference_length == 0, F.when(predicted_length == 0, 0.0).otherwise(1.0)).otherwise(F.try_divide(distance.cast("double"), reference_length))
+    return let(lambda v: F.when(v["n"] == 0, F.when(v["m"] == 0, 0.0).otherwise(1.0)).otherwise(F.try_divide(v["d"].cast("double"), v["n"])), d=distance, n=reference_length, m=predicted_length)
 
 
 def clamp01(c: Column) -> Column:
@@ -99,8 +106,7 @@ def token_distance(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def edit_similarity(a: Column, b: Column) -> Column:
     """1 less the distance by the longer length; two empty texts are alike."""
-    longer = F.greatest(F.length(a), F.length(b))
-    return F.when(longer == 0, 1.0).otherwise(1 - F.try_divide(distance(a, b).cast("double"), longer))
+    return let(lambda v: F.when(v["n"] == 0, 1.0).otherwise(1 - F.try_divide(v["d"].cast("double"), v["n"])), d=distance(a, b), n=F.greatest(F.length(a), F.length(b)))
 
 
 def box_area(b: Column) -> Column:
@@ -126,9 +132,12 @@ def box_ios(a: Column, b: Column) -> Column:
 
 
 def weighted_mean(pairs: list[tuple[float, Column]]) -> Column:
-    """Weighted mean of the values that are not null; null if all are."""
-    top = sum((F.coalesce(F.lit(w) * c, F.lit(0.0)) for w, c in pairs), F.lit(0.0))
-    return F.try_divide(top, sum((F.when(c.isNotNull(), F.lit(w)).otherwise(0.0) for w, c in pairs), F.lit(0.0)))
+    """Weighted mean of the values that are not null; null if all are. A negative weight is an error."""
+    if any(w < 0 for w, _ in pairs):
+        raise ValueError("a weight is negative")
+    held = F.filter(F.array(*[F.struct(F.lit(float(w)).alias("w"), v.cast("double").alias("v")) for w, v in pairs]), lambda x: x["v"].isNotNull())
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"))
+    return F.aggregate(held, zero, lambda acc, x: F.struct((acc["s"] + x["w"] * x["v"]).alias("s"), (acc["w"] + x["w"]).alias("w")), lambda acc: F.try_divide(acc["s"], acc["w"]))
 
 
 def composition_similarity(a: Column, b: Column) -> Column:

@@ -451,3 +451,6 @@ def win_gap_groups(spark, sf_dir):
 def set_missing_extra(spark, sf_dir):
     d, lab = (V.table(spark, sf_dir, t).select("doc_id") for t in ("documents", "labels"))
     return d.join(lab, "doc_id", "left_anti").withColumn("state", F.lit("missing")).unionByName(lab.join(d, "doc_id", "left_anti").withColumn("state", F.lit("extra")))
+
+
+from gradus.plans import scored  # noqa: E402, F401  (registers its queries here)
