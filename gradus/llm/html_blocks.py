@@ -16,39 +16,62 @@ from gradus.llm.tokens import slices
 
 #: Fixed values of HTML: elements without content, elements whose text is no text, and elements that run within a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style template noscript svg math iframe object canvas audio video".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+SILENT = frozenset("script style template noscript svg iframe object canvas audio video annotation".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math semantics mi mo mn ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mtable mtr mtd mspace mstyle mfenced".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("article aside body div footer form header html main nav ol section table td th ul dl button".split())
 
 
+PATHS, WORDS = 96, 32
+_slots: dict[str, int] = {}
+
+
+def slot(word: str, size: int) -> int:
+    if len(_slots) > 200_000:
+        _slots.clear()
+    h = _slots.get(word)
+    if h is None:
+        h = _slots[word] = zlib.crc32(word.encode())
+    return h % size
+
+
 class Leaves(HTMLParser):
-    """The page's leaf blocks in order: (path of (tag, names), text, characters within links)."""
+    """The page's leaf blocks in order: (hashed tags and names of its path, its depth, text, characters within links).
+
+    A self-closing tag of an element that has content opens it, as in HTML. An open element holds the features of its
+    whole path, of which there are at most PATHS, and counts of open tags tell whether a search of the stack can hit.
+    """
 
-    def __init__(self):
+    def __init__(self, silent: frozenset):
         super().__init__(convert_charrefs=True)
-        self.blocks, self.stack, self.text, self.linked, self.silent = [], [], [], 0, 0
+        self.never, self.blocks, self.stack, self.count, self.text, self.linked, self.silent = silent, [], [], {}, [], 0, []
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.blocks.append((tuple(self.stack), text, self.linked))
+            tag, features = self.stack[-1] if self.stack else ("", frozenset())
+            self.blocks.append((features | {slot("=" + tag, PATHS)} if tag else features, len(self.stack), text, self.linked))
         self.text, self.linked = [], 0
 
     def pop(self, tags, scopes=frozenset()) -> None:
+        if not any(self.count.get(t) for t in tags):
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] in tags:
                 if any(t not in INLINE for t, _ in self.stack[i:]):
                     self.flush()
+                for t, _ in self.stack[i:]:
+                    self.count[t] -= 1
                 del self.stack[i:]
                 return
             if self.stack[i][0] in scopes:
                 return
 
     def handle_starttag(self, tag, attrs):
-        if tag in SILENT:
-            self.silent += 1
+        if tag in self.never:
+            self.silent.append(tag)
+        if self.silent:
             return
         if tag == "br":
             self.text.append(" ")
@@ -59,63 +82,54 @@ class Leaves(HTMLParser):
             if tag in SIBLINGS:
                 self.pop(SIBLINGS[tag], frozenset(("ul", "ol", "dl", "table", "select")))
         if tag not in VOID:
-            names = tuple(w for k, v in attrs if k in ("class", "id", "role") and v for w in re.findall(r"[a-z]+", v.lower()))
-            self.stack.append((tag, names))
+            names = [w for k, v in attrs if k in ("class", "id", "role") and v for w in re.findall(r"[a-z]+", v.lower())]
+            features = (self.stack[-1][1] if self.stack else frozenset()) | {slot("<" + tag, PATHS), *(slot("." + n, PATHS) for n in names)}
+            self.stack.append((tag, features))
+            self.count[tag] = self.count.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
-        if tag in VOID:
+        if not self.silent or tag in self.never:  # foreign elements within a silent one are closed as they are opened
             self.handle_starttag(tag, attrs)
+        if tag in self.never and tag == "svg":
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if tag in SILENT:
-            self.silent = max(0, self.silent - 1)
-        elif tag not in VOID:
+        if tag in self.silent:
+            del self.silent[self.silent.index(tag) :]
+        elif not self.silent and tag not in VOID:
             self.pop((tag,))
 
     def handle_data(self, data):
         if not self.silent:
             self.text.append(data)
-            if any(t == "a" for t, _ in self.stack):
+            if self.count.get("a"):
                 self.linked += len(data)
 
 
 def leaves(html: str) -> list:
-    p = Leaves()
-    p.feed(html)
-    p.close()
-    p.flush()
-    return p.blocks
-
-
-PATHS, WORDS = 96, 32
-_slots: dict[str, int] = {}
-
-
-def slot(word: str, size: int) -> int:
-    if len(_slots) > 200_000:
-        _slots.clear()
-    h = _slots.get(word)
-    if h is None:
-        h = _slots[word] = zlib.crc32(word.encode())
-    return h % size
+    """Leaf blocks of a page. What follows an element without text that is never closed isn't lost: such an element counts
+    for nothing. Only an unclosed script or style runs to the end of the page, as in HTML."""
+    silent = SILENT
+    while True:
+        p = Leaves(silent)
+        p.feed(html)
+        p.close()
+        p.flush()
+        unclosed = set(p.silent) - {"script", "style"}
+        if not unclosed:
+            return p.blocks
+        silent = silent - unclosed
 
 
 def vectors(blocks: list) -> np.ndarray:
-    """A row a block: hashed tags and names of its path, hashed words, and a few counts."""
+    """A row a block: hashed tags and names of its path, its hashed words (all of them), and a few counts."""
     x = np.zeros((len(blocks), PATHS + WORDS + 6))
-    for i, (path, text, linked) in enumerate(blocks):
-        for tag, names in path:
-            x[i, slot("<" + tag, PATHS)] = 1
-            for n in names:
-                x[i, slot("." + n, PATHS)] = 1
-        if path:
-            x[i, slot("=" + path[-1][0], PATHS)] = 1
-        words = text[:2000].split()
-        for w in words[:64]:
-            x[i, PATHS + slot(w.lower(), WORDS)] += 1
-        x[i, PATHS : PATHS + WORDS] /= max(1, min(64, len(words)))
+    for i, (features, depth, text, linked) in enumerate(blocks):
+        x[i, list(features)] = 1
+        words = text.lower().split()
+        x[i, PATHS : PATHS + WORDS] = np.bincount([slot(w, WORDS) for w in words], minlength=WORDS) / len(words)
         n = len(text)
-        x[i, PATHS + WORDS :] = np.log1p(n) / 6, min(1.0, linked / n), i / len(blocks), text[-1] in ".!?", min(1.0, text.count(",") * 20 / n), len(path) / 8
+        x[i, PATHS + WORDS :] = np.log1p(n) / 6, min(1.0, linked / n), i / len(blocks), text[-1] in ".!?", min(1.0, text.count(",") * 20 / n), depth / 8
     return x
 
 
@@ -275,7 +289,7 @@ def default_model(pages: int = 700, seed: int = 4) -> Labeller:
         html, main = sample_page(rng)
         blocks, own = leaves(html), {" ".join(t.split()) for t in main}
         if blocks:
-            data.append((vectors(blocks), np.array([b[1] in own for b in blocks], float)))
+            data.append((vectors(blocks), np.array([b[2] in own for b in blocks], float)))
     return Labeller(PATHS + WORDS + 6).train(data)
 
 
@@ -289,7 +303,7 @@ def main_texts(model: Labeller, htmls: list[str], cells: int = 20_000) -> list[s
         some, order = order[-n:], order[:-n]
         x, mask, _ = padded([vectors(blocks[i]) for i in some])
         for i, s in zip(some, model.scores(x, mask)):
-            out[i] = "\n".join(b[1] for b, v in zip(blocks[i], s) if v > 0)
+            out[i] = "\n".join(b[2] for b, v in zip(blocks[i], s) if v > 0)
     return out
 
 

@@ -418,7 +418,7 @@ def test_html(spark):
         blocks, own = html_blocks.leaves(html), {" ".join(t.split()) for t in main}
         if blocks:
             s = model.scores(*html_blocks.padded([html_blocks.vectors(blocks)])[:2])[0]
-            right += sum((v > 0) == (b[1] in own) for b, v in zip(blocks, s))
+            right += sum((v > 0) == (b[2] in own) for b, v in zip(blocks, s))
             total += len(blocks)
     assert right / total > 0.98
     page = '<html><head><title>T</title></head><body><nav><a href="/">Home</a></nav><article><h1>Head &amp; more</h1><p>One\n two<br>three.</p><p>Caf&eacute;.</p></article><footer>&copy; x</footer></body></html>'
