@@ -38,14 +38,19 @@ def iqr_outliers(df: DataFrame, keys: list[str], metric: str, value: str) -> Dat
     return df.join(F.broadcast(q), metric).where((F.col(value) < F.col("q1") - span) | (F.col(value) > F.col("q3") + span)).select(*keys, metric, value)
 
 
-def pareto(df: DataFrame, quality: str, cost: str, tol: float = 1e-9) -> DataFrame:
+def pareto(df: DataFrame, quality: str, cost: str, tol: float = 1e-9, ranges: int = 64) -> DataFrame:
     """Rows that no other row beats in one of quality (more) and cost (less) without losing in the other.
 
-    By a running maximum of quality in the order of cost: one sort, not a join of all pairs.
+    By a running maximum of quality in the order of cost: costs are cut into ranges (by quantiles of at most a few
+    hundred bounds), each range keeps its own running maximum and starts from the best of the ranges below it.
     """
-    by_cost = df.groupBy(cost).agg(F.max(quality).alias("_top"))
-    before = Window.orderBy(cost).rowsBetween(Window.unboundedPreceding, -1)
-    best = by_cost.withColumn("_before", F.max("_top").over(before))
+    by_cost = df.where(F.col(cost).isNotNull()).groupBy(cost).agg(F.max(quality).alias("_top"))
+    bounds = sorted(set(by_cost.approxQuantile(cost, [k / ranges for k in range(1, ranges)], 1 / (4 * ranges)))) if ranges > 1 else []
+    by_cost = by_cost.withColumn("_r", F.aggregate(F.array(*map(F.lit, bounds)), F.lit(0), lambda n, x: n + (F.col(cost) > x).cast("int")) if bounds else F.lit(0))
+    tops = by_cost.groupBy("_r").agg(F.max("_top").alias("_best"))  # one row a range
+    below = tops.withColumn("_below", F.max("_best").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))).select("_r", "_below")
+    inner = Window.partitionBy("_r").orderBy(cost).rowsBetween(Window.unboundedPreceding, -1)
+    best = by_cost.withColumn("_in", F.max("_top").over(inner)).join(F.broadcast(below), "_r").withColumn("_before", F.greatest("_in", "_below")).drop("_r", "_in", "_below")
     return df.join(best, cost).where((F.col(quality) >= F.col("_top") - tol) & (F.col("_before").isNull() | (F.col(quality) > F.col("_before") + tol))).drop("_top", "_before")
 
 
@@ -57,3 +62,21 @@ def hash_bootstrap(df: DataFrame, keys: list[str], order: str, value: str, draws
     picks = picks.withColumn("_at", (F.conv(F.substring(F.md5(F.concat_ws(":", "_r", "_i")), 1, 8), 16, 10).cast("long") % F.col("_n")).cast("int"))
     means = picks.join(rows.select(*keys, "_at", value), [*keys, "_at"]).groupBy(*keys, "_r").agg(F.avg(value).alias("_m"))
     return means.groupBy(*keys).agg(F.percentile("_m", F.lit(0.025)).alias("ci_low"), F.percentile("_m", F.lit(0.975)).alias("ci_high"))
+
+
+def paired_bootstrap(df: DataFrame, keys: list[str], order: str, left: str, right: str, draws: int = 10_000) -> DataFrame:
+    """Mean difference of paired values and its resampled 2.5 and 97.5 % bounds, null for fewer than two pairs; a value without partner fails."""
+    gap = F.when(F.col(left).isNotNull() & F.col(right).isNotNull(), F.col(left) - F.col(right)).otherwise(F.raise_error(F.lit("a value without partner")).cast("double"))
+    rows = df.withColumn("_d", gap)
+    own = rows.groupBy(*keys).agg(F.avg("_d").alias("delta"), F.count("*").alias("n"))
+    out = own.join(hash_bootstrap(rows, keys, order, "_d", draws), keys)
+    return out.select(*keys, "n", "delta", *[F.when(F.col("n") > 1, F.col(c)).alias(c) for c in ("ci_low", "ci_high")])
+
+
+def macro_of(objects: DataFrame) -> DataFrame:
+    """Macro score by tool in one formulation of its own, to check the hierarchy: each object weighs 1 / (categories x documents of its category x objects of its cell)."""
+    cell, docs = Window.partitionBy("tool", "category", "document"), Window.partitionBy("tool", "category")
+    rows = objects.withColumn("_cell", F.count("*").over(cell))
+    rows = rows.withColumn("_docs", F.sum(1 / F.col("_cell")).over(docs))
+    rows = rows.withColumn("_cats", F.sum(1 / (F.col("_cell") * F.col("_docs"))).over(Window.partitionBy("tool")))
+    return rows.groupBy("tool").agg(F.sum(F.col("score") / (F.col("_cell") * F.col("_docs") * F.col("_cats"))).alias("overall"))

@@ -453,4 +453,4 @@ def set_missing_extra(spark, sf_dir):
     return d.join(lab, "doc_id", "left_anti").withColumn("state", F.lit("missing")).unionByName(lab.join(d, "doc_id", "left_anti").withColumn("state", F.lit("extra")))
 
 
-from gradus.plans import scored  # noqa: E402, F401  (registers its queries here)
+from gradus.plans import layout, scored  # noqa: E402, F401  (they register their queries here)
