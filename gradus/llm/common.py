@@ -16,9 +16,11 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of the session; only where none is set (tests), a local temporary one."""
+    """The shared folder of the session. Only a local master may do without one: then it is a temporary one (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="gradus-ckpt-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -162,7 +164,7 @@ def components(edges: DataFrame, scratch: Scratch, tag: str, max_rounds: int = 4
 
     Alternating large and small stars (Kiveris et al., 2014): each round is two shuffles of an edge list that only
     shrinks; rounds grow with the logarithm of the diameter. Every round is a table in the shared folder. Neighbour
-    minima are partial aggregates, so a hub with very many neighbours meets in no single task.
+    minima are partial aggregates; a hub's edges meet its minimum in a sort-merge join, whose large partitions Spark splits.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:

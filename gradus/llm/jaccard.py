@@ -321,8 +321,12 @@ def jaccard_components(df: DataFrame, n: int = 3, num: int = 90, den: int = 100,
     docs = id_text(df, id_col, text_col)
     known = docs.where(F.col("doc_id").isNotNull())
     sized = scratch.save(sets_of(docs, n), "sets")
-    same = sized.where("h1 is not null and doc_id is not null").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("many")).where("many > 1")
-    copies = sized.where("doc_id is not null").join(same, ["h1", "h2", "n_shingles"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"), "h1", "h2", "n_shingles")
+    keys, mine = ["h1", "h2", "n_shingles"], sized.where("h1 is not null and doc_id is not null")
+    same = scratch.save(mine.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.count("*").alias("many")).where("many > 1"), "same")
+    # sets that more than a thousandth of all rows hold, so fewer than 1000, meet their rows without a shuffle
+    hot = F.broadcast(same.where(F.col("many") > max(1000, sized.count() // 1000)))
+    rest = mine.join(hot.select(*keys), keys, "left_anti").join(same, keys)
+    copies = mine.join(hot, keys).unionByName(rest).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"), *keys)
     copied = scratch.save(copies.distinct(), "copies")
     copies = copied.select("a", "b")
     shared = scratch.save(candidate_edges(known, sized, n, classes, scratch), "shared")

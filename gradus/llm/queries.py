@@ -16,43 +16,53 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text to ids and back: counts, and digests of ids and bytes."""
     ids = byte_bpe.encode(_read(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, offsets=False)
     return byte_bpe.decode(ids, RANKS, public_tokenizers.PATTERN, digests=True)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 4096 tokens."""
     return packing.pack(_read(spark, sf_dir, "documents"), WORDS)
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Losses of every document under the target's and the background's model."""
     return lm_score.cross_entropy_difference(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest integer inner products of every fiftieth vector with all others."""
     return topk.threshold_search(_read(spark, sf_dir, "embeddings"))
 
 
 def op5_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that importance resampling draws."""
     return importance.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
     return html_blocks.extract(_read(spark, sf_dir, "pages"))
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
     return secret_scan.scan(_read(spark, sf_dir, "documents"))
 
 
 def op8_dac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as directly addressable codes and read back."""
     return dac.stream(_read(spark, sf_dir, "documents"), WORDS)
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents linked by nine tenths of their three-word shingles."""
     return jaccard.jaccard_components(_read(spark, sf_dir, "documents"))
 
 
 def op10_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest found of every twentieth vector."""
     return hamming.hamming_search(_read(spark, sf_dir, "embeddings"))
 
 
