@@ -191,8 +191,8 @@ def candidate_edges(docs: DataFrame, sized: DataFrame, n: int, classes: Classes,
     for besides itself is at most its radius away, so two rows may hold a link if their bitmaps differ by no more than
     links of their largest sizes allow and both radii.
 
-    Near copies share most of their keys, so the buckets of leading keys go first; in the other buckets only documents
-    that these left apart are compared and connected.
+    Near copies share most of their keys, so the rows of leading keys go first; then, in all buckets, only documents that
+    these left apart are compared and connected.
     """
     num, den = classes.num, classes.den
     own = Window.partitionBy("key")
@@ -247,7 +247,7 @@ def candidate_edges(docs: DataFrame, sized: DataFrame, n: int, classes: Classes,
 
     first = scratch.save(connected(rows.where("lead = 1"), "a").distinct(), "first")
     met = components(first, scratch, "met").select(F.col("node").alias("a"), "label")
-    rest = rows.where("lead = 0").join(met, "a", "left").withColumn("label", F.coalesce("label", "a"))
+    rest = rows.join(met, "a", "left").withColumn("label", F.coalesce("label", "a"))  # a key may lead for some of its documents only
     apart = rest.groupBy("bucket", "many").agg(F.count_distinct("label").alias("labels")).where("labels > 1").select("bucket", "many")
     return first.unionByName(connected(rest.join(apart, ["bucket", "many"], "left_semi"), "label"))
 

@@ -1,8 +1,10 @@
 """Fragments of the Jaccard join: spare ones outnumber empty ones, and components at 0.8 equal brute force for texts of all sizes."""
 
 import random
+from collections import Counter
 
 import numpy as np
+import pytest
 
 from gradus.llm import jaccard
 
@@ -44,3 +46,35 @@ def test_components_of_long_texts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(df, 5, 80, 100).collect()}
     assert got == label and len(set(label.values())) < len(label)
+
+
+@pytest.mark.parametrize("n,num", [(3, 90), (5, 80)])
+def test_documents_equal_all_pairs(spark, n, num):
+    """All documents of a test table, twice over with a few words changed, against an inverted list of all shingles."""
+    rng = random.Random(n)
+    base = [(r.doc_id, r.text or "") for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    rows = list(base)
+    for share in (0.004, 0.01, 0.02, 0.03):
+        rows += [(len(rows) + 10_000 + i, " ".join("changed" + str(rng.randrange(99)) if rng.random() < share else w for w in t.split())) for i, (_, t) in enumerate(base)]
+    sets = {}
+    for i, t in rows:
+        w = t.encode().lower().split()
+        sets[i] = set(zip(*(w[k:] for k in range(n)))) if len(w) >= n else ({tuple(w)} if w else set())
+    label, held = {i: i for i in sets}, {}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in sorted(sets):
+        shared = Counter(j for g in sets[i] for j in held.get(g, ()))
+        for j, both in shared.items():
+            if 100 * both >= num * (len(sets[i]) + len(sets[j]) - both):
+                a, b = root(i), root(j)
+                label[max(a, b)] = min(a, b)
+        for g in sets[i]:
+            held.setdefault(g, []).append(i)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, n, num, 100).collect()}
+    assert got == {i: (len(sets[i]), root(i)) for i in sets}
