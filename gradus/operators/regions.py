@@ -85,9 +85,9 @@ def match_document(truth: DataFrame, found: DataFrame, keys: list[str], least: f
     return out.select(*keys, "gt_id", (many | F.col("cand_id").isNotNull()).alias("matched"), F.when(many, "text_multiblock").otherwise(F.col("method")).alias("method"), F.coalesce(F.when(many, F.col("overlap")).otherwise(F.col("score")), F.lit(0.0)).alias("score"), F.when(~many, F.col("cand_id")).alias("cand_id"), F.when(many, F.col("joined")).otherwise(F.col("text")).alias("text"), F.coalesce("source_ids", F.when(F.col("cand_id").isNotNull(), F.array("cand_id"))).alias("source_ids"))
 
 
-def interval_bounds(anchors: DataFrame, keys: list[str], at: str) -> DataFrame:
+def interval_bounds(anchors: DataFrame, keys: list[str], at: str, ties: tuple[str, ...] = ()) -> DataFrame:
     """low and high of each anchor: the middles between it and its neighbours; null at the ends."""
-    w = Window.partitionBy(*keys).orderBy(at)
+    w = Window.partitionBy(*keys).orderBy(at, *ties)
     return anchors.withColumn("low", (F.lag(at).over(w) + F.col(at)) / 2).withColumn("high", (F.lead(at).over(w) + F.col(at)) / 2)
 
 

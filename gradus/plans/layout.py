@@ -38,11 +38,11 @@ def join_gt_candidates(spark, sf_dir):
     return rounded(R.scored_pairs(truth, found.where("box is not null"), ["page", "object_type"]).select("page", "object_type", "gt_id", "cand_id", "score"))
 
 
-@query("SELECT user_id, event_id, round((lag(value) OVER w + value) / 2, 9) AS low, round((lead(value) OVER w + value) / 2, 9) AS high FROM events WINDOW w AS (PARTITION BY user_id ORDER BY value)")
+@query("SELECT user_id, event_id, round((lag(value) OVER w + value) / 2, 9) AS low, round((lead(value) OVER w + value) / 2, 9) AS high FROM events WINDOW w AS (PARTITION BY user_id ORDER BY value, event_id)")
 def win_interval_bounds(spark, sf_dir):
     """The middles between each event's value and its neighbours' of one user."""
     e = V.table(spark, sf_dir, "events").select("user_id", "event_id", "value")
-    return rounded(R.interval_bounds(e, ["user_id"], "value").select("user_id", "event_id", "low", "high"), 9)
+    return rounded(R.interval_bounds(e, ["user_id"], "value", ("event_id",)).select("user_id", "event_id", "low", "high"), 9)
 
 
 @query("SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, coalesce(lead(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber), 8)::BIGINT AS until FROM lineitem")
