@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -26,15 +27,21 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
                 ids = bpe.encode(texts)
                 out = {"doc_id": part.column("doc_id"), "ids": pa.array(ids, pa.binary())}
                 if offsets:
-                    spans = [bpe.spans(i, t) for i, t in zip(ids, texts)]
-                    out |= {k: pa.array([s[j] for s in spans], pa.list_(pa.int64())) for j, k in enumerate(("starts", "ends"))}
+                    spans = [bpe.spans(i, t or "") for i, t in zip(ids, texts)]
+                    places = np.cumsum([0, *(len(i) // 4 for i in ids)]).astype(np.int32)
+                    out |= {k: pa.ListArray.from_arrays(places, np.concatenate([s[j] for s in spans]).astype(np.int32)) for j, k in enumerate(("starts", "ends"))}
                 yield pa.RecordBatch.from_pydict(out)
 
-    return id_text(df, id_col, text_col).mapInArrow(run, "doc_id long, ids binary" + ", starts array<long>, ends array<long>" * offsets)
+    return id_text(df, id_col, text_col).mapInArrow(run, "doc_id long, ids binary" + ", starts array<int>, ends array<int>" * offsets)
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, digests: bool = False) -> DataFrame:
-    """doc_id and bytes (or, with digests, counts and sha256 of ids and bytes) of rows of encode(); null ids have no bytes."""
+    """doc_id and bytes (or, with digests, counts and sha256 of ids and bytes) of rows of encode(); null ids have no bytes.
+
+    With digests, rows that have offsets give offsets_sha256 too, of the starts and then the ends as little-endian
+    unsigned 32-bit integers.
+    """
+    spans = ("starts", "ends") if digests and "starts" in df.columns else ()
 
     def run(batches):
         bpe = kept(ByteBpe, ranks_path, pattern)
@@ -46,8 +53,12 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, digests: bool = False)
                 if digests:
                     rows = [(len(i) // 4, sha(i), sha(r)) for i, r in zip(ids, raw)]
                     out = {k: pa.array([r[j] for r in rows], pa.string() if j else pa.int64()) for j, k in enumerate(("n_tokens", "ids_sha256", "decoded_sha256"))}
+                    if spans:
+                        cols = [part.column(k) for k in spans]
+                        held = [(c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False).astype("<u4")) for c in cols]
+                        out["offsets_sha256"] = pa.array([sha(b"".join(v[o[i] : o[i + 1]].tobytes() for o, v in held)) for i in range(len(ids))], pa.string())
                 else:
                     out = {"bytes": pa.array(list(raw), pa.binary())}
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), **out})
 
-    return df.select("doc_id", "ids").mapInArrow(run, "doc_id long, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "bytes binary"))
+    return df.select("doc_id", "ids", *spans).mapInArrow(run, "doc_id long, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string" + ", offsets_sha256 string" * bool(spans) if digests else "bytes binary"))

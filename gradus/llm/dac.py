@@ -46,6 +46,26 @@ class Dac:
             out = own
         return out
 
+    def cut(self, a: int, b: int) -> np.ndarray:
+        """Ids a to b - 1 without the others: each level gives its own stretch, and the marks before it, by the directory
+        and the bits of one block, tell where the next level's stretch begins."""
+        parts = []
+        for chunk, bits, ranks in self.levels:
+            if a == b:
+                break
+            block = a // RANK_BITS
+            marks = np.unpackbits(bits[block * RANK_BITS // 8 : (b + 7) // 8], count=b - block * RANK_BITS, bitorder="little").view(bool)
+            more = marks[a - block * RANK_BITS :]
+            parts.append((chunk[a:b], more))
+            a = int(ranks[block]) + int(np.count_nonzero(marks[: a - block * RANK_BITS]))
+            b = a + int(np.count_nonzero(more))
+        out = np.zeros(0, np.uint32)
+        for chunk, more in reversed(parts):
+            own = chunk.astype(np.uint32)
+            own[more] |= out << np.uint32(8)
+            out = own
+        return out
+
     def __getitem__(self, i: int) -> int:
         value = 0
         for k, (chunk, bits, ranks) in enumerate(self.levels):
@@ -136,9 +156,8 @@ def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
             for row in batch.to_pylist():
                 marks = np.frombuffer(row["doc_ids"], [("id", "<i8"), ("null", "u1")])
                 sizes = np.frombuffer(row["sizes"], "<u8").astype(np.int64)
-                data = Dac.frombytes(row["dac"]).decode().astype("<u4").tobytes()
-                ends = np.cumsum(sizes)
-                own = [data[4 * (e - s) : 4 * e] for s, e in zip(sizes.tolist(), ends.tolist())]
+                codes, ends = Dac.frombytes(row["dac"]), np.cumsum(sizes)
+                own = [codes.cut(e - s, e).astype("<u4").tobytes() for s, e in zip(sizes.tolist(), ends.tolist())]
                 cols = [pa.array(marks["id"].astype(np.int64), mask=marks["null"].astype(bool)), pa.array(row["start"] + ends - sizes), pa.array(sizes), pa.array([zlib.crc32(x) for x in own], pa.int64())]
                 names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                 if with_ids:
@@ -150,11 +169,30 @@ def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
 
 
 def tokens_at(spark: SparkSession, path: str, places: list[int]) -> dict[int, int]:
-    """The ids at some places of the stream, each by its segment's levels alone."""
-    wanted = spark.createDataFrame([(p,) for p in places], "place long")
-    hit = segments(spark, path).join(F.broadcast(wanted), (F.col("place") >= F.col("start")) & (F.col("place") < F.col("start") + F.col("n_tokens")))
-    pick = F.udf(lambda dac, i: Dac.frombytes(bytes(dac))[i], "long")
-    return {r["place"]: r["id"] for r in hit.select("place", pick("dac", F.col("place") - F.col("start")).alias("id")).collect()}
+    """The ids at some places of the stream, each by its segment's levels alone; places outside the stream are left out.
+
+    The places are sorted and each segment finds its own by binary search. A first pass reads the segments' places, so
+    the second one asks the files for no other part than those that hold a wanted id.
+    """
+    wanted = np.unique(np.array(places, np.int64))
+
+    def own(start, n):
+        return wanted[np.searchsorted(wanted, start) : np.searchsorted(wanted, start + n)]
+
+    def find(batches):
+        for batch in batches:
+            rows = [r for r in batch.to_pylist() if len(own(r["start"], r["n_tokens"]))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int32()) for k in ("part", "seq")], names=["part", "seq"])
+
+    def look(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                at, codes = own(r["start"], r["n_tokens"]), Dac.frombytes(r["dac"])
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([codes[p - r["start"]] for p in at.tolist()], pa.int64())], names=["place", "id"])
+
+    hit = segments(spark, path).select("part", "seq", "start", "n_tokens").mapInArrow(find, "part int, seq int").collect()
+    some = segments(spark, path).where(F.col("part").isin(sorted({r["part"] for r in hit})) & F.col("seq").isin(sorted({r["seq"] for r in hit})))
+    return {r["place"]: r["id"] for r in some.select("start", "n_tokens", "dac").mapInArrow(look, "place long, id long").collect()}
 
 
 def stream(df: DataFrame, tokenizer: str, end_id: int = 2, **kw) -> DataFrame:

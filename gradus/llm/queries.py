@@ -16,8 +16,8 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text to ids and back: counts, and digests of ids and bytes."""
-    ids = byte_bpe.encode(_read(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, offsets=False)
+    """Every text to ids with offsets and back: counts, and digests of ids, bytes and offsets."""
+    ids = byte_bpe.encode(_read(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
     return byte_bpe.decode(ids, RANKS, public_tokenizers.PATTERN, digests=True)
 
 
