@@ -63,7 +63,7 @@ class WordBpe:
         self.model = self.lib.model
         self.split = re.compile(WORD_PATTERN.replace(r"\p{L}", L).replace(r"\p{N}", N)).findall
         self.chars = dict(enumerate(byte_chars()))
-        self.pieces, self.chunks = Chunks(self.piece), Chunks(self.chunk, 25_000)
+        self.pieces, self.chunks = Chunks(self.piece, 200_000), Chunks(self.chunk, 25_000)
 
     def piece(self, p: str) -> bytes:
         shown = p if p.isascii() else p.encode().decode("latin-1").translate(self.chars)
