@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -156,3 +158,49 @@ def available(environment: Column, ready: Column, cloud: Column, allowed: Column
         .when(~ready, F.concat(F.lit("Runtime environment "), environment, F.lit(" is not installed")))
     )
     return ready & reason.isNull(), reason
+
+
+def distinct_formulas(found: DataFrame, keys: list[str], share: float = 0.8) -> DataFrame:
+    """Formulas (keys, source, formula, box) of a page without doubles, longest first, equally long ones by source.
+
+    One goes if a kept one of its source has the same normal form, or if the smaller of both boxes lies by `share` within
+    the other and its normal form is part of the kept one's; the same formula at another place stays. A page meets in one task.
+    """
+    b = F.col("box")
+    flat = found.select(*keys, "source", "formula", T.norm_chem(F.col("formula")).alias("normal"), *[b[c].alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+    def keep(page: pd.DataFrame) -> pd.DataFrame:
+        page = page.assign(n=-page["normal"].str.len()).sort_values(["n", "source"], kind="stable").drop(columns="n")
+        x0, y0, x1, y1 = page[["x0", "y0", "x1", "y1"]].to_numpy(float).T
+        size = np.maximum(x1 - x0, 0) * np.maximum(y1 - y0, 0)
+        normal, source, kept = page["normal"].to_numpy(), page["source"].to_numpy(), []
+        for i in range(len(page)):
+            k = np.array(kept, int)
+            shared = np.maximum(np.minimum(x1[k], x1[i]) - np.maximum(x0[k], x0[i]), 0) * np.maximum(np.minimum(y1[k], y1[i]) - np.maximum(y0[k], y0[i]), 0)
+            within = shared >= share * np.minimum(size[k], size[i])  # never of a missing box
+            if not any(normal[i] == normal[j] and source[i] == source[j] or w and normal[i] in normal[j] for j, w in zip(kept, within)):
+                kept.append(i)
+        return page.iloc[kept]
+
+    out = flat.groupBy(*keys).applyInPandas(keep, flat.schema)
+    box = F.when(F.col("x0").isNotNull(), B.box(*map(F.col, ("x0", "y0", "x1", "y1"))))
+    return out.select(*keys, "source", "formula", box.alias("box"))
+
+
+#: The metrics that the impact of each category names, in their order, and its wording.
+IMPACT = {
+    "text": ("cer", "wer", "edit_similarity"),
+    "table": ("cell_recall", "cell_content", "row_structure", "column_structure", "merged_f1", "teds_like"),
+    "math": ("raw_exact_match", "normalized_exact_match", "token_precision", "token_recall", "token_f1", "edit_similarity"),
+    "chemistry": ("detection", "token_f1", "composition_similarity", "iou", "label_recall", "extraction", "structured_extraction"),
+    "image": ("detection_recall", "iou", "extraction", "caption"),
+    "diagram": ("detection_recall", "iou", "diagram_text_recall", "caption", "element_recall", "key_elements"),
+}
+IMPACT_TEXT = "Object Score=%.2f/100; потеря относительно идеального объекта=%.2f п.п.; "
+
+
+def impact(category: Column, score: Column, metrics: Column) -> Column:
+    """The score, what it lacks to 100, and the category's metrics that are there (a map of doubles), with two decimals; null for another category."""
+    part = lambda n: F.when(metrics[n].isNotNull(), F.format_string(n + "=%.2f", metrics[n]))
+    named = {c: F.concat_ws(", ", *map(part, names)) for c, names in IMPACT.items()}
+    return F.concat(F.format_string(IMPACT_TEXT, score, 100 - score), _by_key(category, named))

@@ -95,3 +95,20 @@ def availability(spark, sf_dir):
     k = F.col("s_suppkey")
     can, why = D.available(F.col("s_name"), k % 2 == 0, k % 3 == 0, k % 5 > 0, k % 7 > 0)
     return V.table(spark, sf_dir, "supplier").select("s_suppkey", can.alias("available"), why.alias("reason"))
+
+
+@query("""SELECT event_id, printf('Object Score=%.2f/100; потеря относительно идеального объекта=%.2f п.п.; ', v, 100 - v) || CASE event_id % 2 WHEN 0 THEN printf('cer=%.2f', v) ELSE printf('iou=%.2f, caption=%.2f', v, v + 1) END AS text
+    FROM (SELECT event_id, (event_id % 100)::DOUBLE AS v FROM events)""")
+def metric_impact(spark, sf_dir):
+    v = (F.col("event_id") % 100).cast("double")
+    metrics = F.create_map(F.lit("cer"), v, F.lit("iou"), v, F.lit("caption"), v + 1)
+    return V.table(spark, sf_dir, "events").select("event_id", D.impact(F.when(F.col("event_id") % 2 == 0, "text").otherwise("image"), v, metrics).alias("text"))
+
+
+@query()
+def det_chem_dedup(spark, sf_dir):
+    """Formulas at the boxes of parts, of two sources a page, without doubles."""
+    truth, found = V.boxes(spark, sf_dir)
+    both = truth.withColumnRenamed("gt_id", "id").unionByName(found.withColumnRenamed("cand_id", "id"))
+    formula = F.concat(F.lit("C"), F.col("id") % 3 + 2, F.when(F.col("id") % 2 == 0, "H6O").otherwise(""))
+    return rounded(D.distinct_formulas(both.select("page", (F.col("id") % 4).cast("string").alias("source"), formula.alias("formula"), "box"), ["page"]).select("page", "source", "formula", "box.x0", "box.y0"))

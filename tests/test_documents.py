@@ -81,3 +81,12 @@ def test_clean_dataset(spark, tmp_path):
     assert [r.tool for r in files.read_table(spark, f"{tmp_path}/clean_results_dataset.csv").collect()] == ["y"]
     s = spark.read.json(f"{tmp_path}/data_quality_summary.json").first()
     assert (s.raw_tool_rows, s.clean_tool_rows, s.error_count, s.warning_count, s.excluded_tools, s.clean_tools, s.status) == (2, 1, 1, 1, ["x"], ["y"], "needs_attention")
+
+
+def test_formulas_without_doubles(spark):
+    box, inner, far = (0.0, 0.0, 0.5, 0.1), (0.0, 0.0, 0.2, 0.1), (0.0, 0.5, 0.2, 0.6)
+    rows = [(1, "a", "C2H6O", box), (1, "b", "C2H6", inner), (1, "b", "H2O", inner), (1, "b", "C2H6", far), (1, "c", "CO2", None), (1, "c", "CO2", None), (1, "d", "CO2", None), (2, "a", "C2H6O", box)]
+    df = spark.createDataFrame(rows, "page long, source string, formula string, box struct<x0: double, y0: double, x1: double, y1: double>")
+    got = [(r.page, r.source, r.formula, r.box and tuple(r.box)) for r in D.distinct_formulas(df, ["page"]).collect()]
+    want = [rows[0], rows[2], rows[3], rows[4], rows[6], rows[7]]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
