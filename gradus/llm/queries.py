@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gradus.llm import audit, byte_bpe, dac, fill_middle, hamming, html_blocks, importance, jaccard, lm_score, packing, secret_scan, topk
+from gradus.llm import audit, byte_bpe, dac, fill_middle, hamming, html_blocks, importance, jaccard, lm_score, packing, pii, secret_scan, topk
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -66,6 +66,11 @@ def op10_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.hamming_search(_read(spark, sf_dir, "embeddings"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.scan(_read(spark, sf_dir, "documents"))
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as prefix, suffix and middle, or plain, and the text rebuilt from it, as digests."""
     return fill_middle.transform(_read(spark, sf_dir, "documents"), digests=True)
@@ -76,7 +81,7 @@ def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_packing, op3_lm_score, op4_topk, op5_importance, op6_html, op7_secrets, op8_dac, op9_jaccard, op10_hamming, op12_fill_middle, op13_audit)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_packing, op3_lm_score, op4_topk, op5_importance, op6_html, op7_secrets, op8_dac, op9_jaccard, op10_hamming, op11_pii, op12_fill_middle, op13_audit)}
 ORACLES: dict[str, str] = {
     "op4_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
