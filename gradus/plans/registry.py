@@ -297,7 +297,7 @@ def collapse_ws(spark, sf_dir):
     return V.table(spark, sf_dir, "documents").select("doc_id", F.md5(T.collapse_ws(F.col("text"))).alias("digest"))
 
 
-@query("""SELECT doc_id, md5(replace(replace(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '-\\n(\\p{L})', '-\\1', 'g'), '[ \\t]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), ' ' || chr(10)),
+@query("""SELECT doc_id, md5(replace(replace(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(nfc_normalize(text), chr(173) || chr(10), ''), chr(173), ''), '-[ \\t]*\\n([A-Za-zА-Яа-яЁё])', '-\\1', 'g'), '[ \\t]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), ' ' || chr(10)),
     '\\n\\n+', chr(1), 'g'), chr(10), ' '), chr(1), chr(10) || chr(10))) AS digest FROM documents""")
 def norm_text(spark, sf_dir):
     return V.table(spark, sf_dir, "documents").select("doc_id", F.md5(T.norm_text(F.col("text"))).alias("digest"))

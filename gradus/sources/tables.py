@@ -15,60 +15,96 @@ _INTS = [StructField(n, IntegerType()) for n in ("row", "col", "rowspan", "colsp
 CELLS = ArrayType(StructType([*_INTS, StructField("header", BooleanType()), StructField("text", StringType())]))
 
 
+#: Elements without content, and elements whose content is no text.
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+SILENT = frozenset(("script", "style", "template"))
+
+
 class _Table(HTMLParser):
+    """Rows and cells of the first table, those of tables within its cells included, each row after all before it.
+
+    Open elements are a stack, which an end tag closes down to its own element. A cell belongs to a row if it lies directly
+    in it; its text is that of all pieces within, stripped, with a space between.
+    """
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.depth, self.over, self.row, self.cells, self.taken, self.open = 0, False, -1, [], set(), None
+        self.stack: list[tuple[str, object]] = []  # an element's name, and its row or cell if it is one
+        self.rows: list[list[dict]] = []
+        self.piece: list[str] = []
+        self.began = self.over = False
+
+    def end_piece(self):
+        text = "".join(self.piece).strip()
+        self.piece = []
+        if text and not any(name in SILENT for name, _ in self.stack):
+            for _, own in self.stack:
+                if isinstance(own, dict):
+                    own["text"].append(text)
 
     def handle_starttag(self, tag, attrs):
-        if self.over:
+        self.end_piece()
+        if self.over or tag in VOID:
             return
+        own = None
         if tag == "table":
-            self.depth += 1
-        elif self.depth and tag == "tr":
-            self.close_cell()
-            self.row += 1
-        elif self.depth and tag in ("td", "th"):
-            self.close_cell()
-            self.row = max(self.row, 0)
-            a = dict(attrs)
-            span = lambda k: int(a[k]) if str(a.get(k) or "").isdigit() and int(a[k]) > 0 else 1
-            self.open = [span("rowspan"), span("colspan"), tag == "th", []]
+            self.began = True
+        elif self.began and tag == "tr":
+            own = []
+            self.rows.append(own)
+        elif tag in ("td", "th") and self.stack and isinstance(self.stack[-1][1], list):
+            own = {"tag": tag, "attrs": dict(attrs), "text": []}
+            self.stack[-1][1].append(own)
+        if self.began:
+            self.stack.append((tag, own))
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if self.over or not self.depth:
-            return
-        if tag in ("td", "th", "tr"):
-            self.close_cell()
-        elif tag == "table":
-            self.close_cell()
-            self.depth -= 1
-            self.over = self.depth == 0
+        self.end_piece()
+        at = next((k for k in range(len(self.stack) - 1, -1, -1) if self.stack[k][0] == tag), None)
+        if at is not None and not self.over:
+            del self.stack[at:]
+            self.over = not self.stack
 
     def handle_data(self, data):
-        if self.open and not self.over:
-            self.open[3].append(data)
-
-    def close_cell(self):
-        if self.open:
-            rows, cols, header, text = self.open
-            col = 0
-            while (self.row, col) in self.taken:
-                col += 1
-            self.taken |= {(self.row + i, col + j) for i in range(rows) for j in range(cols)}
-            self.cells.append((self.row, col, rows, cols, header, " ".join("".join(text).split())))
-            self.open = None
+        self.piece.append(data)
+
+    def handle_comment(self, data):
+        self.end_piece()
+
+
+def _span(value: str | None) -> int:
+    try:
+        return max(1, int(value))
+    except (TypeError, ValueError):
+        return 1
 
 
 def html_cells(html: str | None) -> list | None:
-    """Cells of the first table, on a grid that knows of spans; a bad span counts as 1; null without a table."""
+    """Cells of the first table, on a grid that knows of spans; a bad span counts as 1; null without a table.
+
+    Rows of a table within a cell follow as rows of their own, and the cell holds their text too.
+    """
     if not html or "<table" not in html.lower():
         return None
     p = _Table()
     p.feed(html)
     p.close()
-    p.close_cell()
-    return p.cells
+    p.end_piece()
+    cells, taken = [], set()
+    for r, row in enumerate(p.rows):
+        col = 0
+        for cell in row:
+            while (r, col) in taken:
+                col += 1
+            down, across = _span(cell["attrs"].get("rowspan")), _span(cell["attrs"].get("colspan"))
+            taken |= {(r + i, col + j) for i in range(down) for j in range(across)}
+            cells.append((r, col, down, across, cell["tag"] == "th", " ".join(" ".join(cell["text"]).split())))
+            col += across
+    return cells
 
 
 _CELL = re.compile(r"((?:\\.|[^\\|]|\\$)*)(\||$)")  # a backslash takes the next character with it

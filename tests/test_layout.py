@@ -104,15 +104,30 @@ def test_rows_of_fragments(spark):
 
 
 def test_detectors():
-    found = detect.delimited_math("So $x$ is.\n$y = 1$ (12).\n\\[ z \\]\n$$a\n+b$$ \\(q\\) and $5\\$ $")
-    assert [(f["latex"], f["wrapper"], f["numbered"]) for f in found] == [("y = 1", "single", True), ("z", "bracket", False), ("a\n+b", "double", False)]
+    read = lambda t: [(f["latex"], f["wrapper"], f["numbered"]) for f in detect.delimited_math(t)]
+    assert read("So $x$ is.\n$y = 1$ (12).\n\\[ z \\]\n$$a\n+b$$ \\(q\\) and $5\\$ $") == [("y = 1", "single", True), ("z", "bracket", False), ("a\n+b", "double", False)]
+    assert read("$5 apples\n$x=1$") == [("x=1", "single", False)] and read("$y = 2$, (3)") == [("y = 2", "single", True)]
+    assert read("$$a \\eqno (4)$$ $$b\\tag {5}$$") == [("a \\eqno (4)", "double", True), ("b\\tag {5}", "double", True)]
+    assert read("\\(q\\) (1).\n, \\(r\\)\nso \\(s\\)") == [("q", "paren", True), ("r", "paren", False)] and read("$$$a$$") == [("$a", "double", False)]
+    assert read("$a$$b$") == [] and read("\\[ a $$ b") == [] and read("$x$ (1234)") == []
     assert [[f["latex"] for f in r] for r in detect.numbered_runs("$$a$$\n$$b$$ (2)\ntext\n$$c$$")] == [["a", "b"]]
     assert detect.delimited_math(None) == [] and detect.delimited_math("$$ $$") == []
+    only = lambda t: detect.formula_only(t, detect.delimited_math(t))
+    assert only("$$a$$ \\[b\\], (3)") and not only("$$a$$ and $$b$$") and only(" ")
+
+
+def test_formulas_in_texts():
     formulas = lambda t: [f["formula"] for f in detect.linear_formulas(t)]
-    assert formulas("H2O and Fe₃O₄, then CuSO4·5H2O (NaHCO3).") == ["H2O", "Fe₃O₄", "CuSO4·5H2O", "NaHCO3"]
-    assert formulas("U2 A1BC 3CD NaCl Xy2 H2 C100H2 Fe0O Н2О КС1 word2 it4") == ["Н2О"]
-    for f in detect.linear_formulas("in (H2SO4) we"):
-        assert "in (H2SO4) we"[f["start"] : f["end"]] == f["formula"] == "H2SO4"
+    assert formulas("H2O and Fe₃O₄, then CuSO4·5H2O, NaHCO3.") == ["H2O", "Fe₃O₄", "CuSO4·5H2O", "NaHCO3"]
+    assert formulas("Fe 3 O 4; H<sub>2</sub>O; \\mathrm{H_2O}; \\ce{\\text{CO_2}}; C&#50;H6") == ["Fe 3 O 4", "H2O", "H2O", "CO2", "C2H6"]
+    assert formulas("in (H2SO4) we; (NH4)2SO4; C6H12 - 2CH3; 2 H2O; K4[Fe") == ["(H2SO4)", "(NH4)2SO4", "C6H12 - 2CH3", "2 H2O"]
+    for label in ("U2", "A1BC", "3CD", "NaCl", "Xy2", "H2", "C100H2", "Fe0O", "КС1", "word2", "it4", "U₁₁ B", "xH2O", "H2Ox", "H2O_", "(H2O"):
+        assert formulas(label) in ([], ["H2O"][: label == "(H2O"]), label
+    assert formulas("Н2О") == ["Н2О"] and formulas("3CO2") == ["3CO2"] and formulas(None) == []
+    for t in ("in (H2SO4) we", "a  Fe 2 O 3 b"):
+        for f in detect.linear_formulas(t):
+            assert t[f["start"] : f["end"]] == f["formula"]
+    assert len(detect.linear_formulas("H2O, " * 20_000)) == 20_000 and detect.linear_formulas("C" * 50_000) == []
 
 
 def test_texts(spark):

@@ -85,3 +85,19 @@ def test_stream_equals_batch(spark, tmp_path):
         want = f(e)
         key = lambda d: sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in d.collect()), key=repr)
         assert key(got) == key(want)
+
+
+def test_cells_of_nested_tables_and_marked_up_cells():
+    cell = lambda html: [(r, c, t) for r, c, *_, t in tables.html_cells(html)]
+    assert cell("<table><tr><td>a<br>b</td><td>a<b>b</b>c<!-- x -->d</td></tr></table>") == [(0, 0, "a b"), (0, 1, "a b c d")]
+    assert cell("<table><tr><td>a<table><tr><td>in</td></tr></table></td><td>b</td></tr><tr><td>c</td></tr></table>") == [(0, 0, "a in"), (0, 1, "b"), (1, 0, "in"), (2, 0, "c")]
+    assert cell("<p><table><tbody><tr><td rowspan=' 2 ' colspan=-3>a</td><td>b<script>x</script></tr><tr><td>&lt;c</table><table><tr><td>no") == [(0, 0, "a"), (0, 1, "b"), (1, 1, "<c")]
+    assert cell("<table><td>no row</td><tr><p><td>not direct</td></p></tr></table>") == []
+
+
+def test_line_ends_in_texts(spark):
+    rows = [("elec­\ntric so­ft", "electric soft"), ("well- \t\nknown x-\n1", "well-known x- 1"), ("a \n b\n\n\n c", "a b\n\nc"), ("  a \n b ", "a b"), ("физико-\nхимический é-\nü", "физико-химический é- ü"), ("", ""), (None, None)]
+    df = spark.createDataFrame([(a, b) for a, b in rows], "t string, want string")
+    for r in df.select("t", "want", T.norm_text(F.col("t")).alias("n"), T.norm_text(F.col("t"), paragraphs=False).alias("one")).collect():
+        assert r.n == r.want, r
+        assert r.t is None or r.one == " ".join(r.want.split()) == T.text_form(r.t)
