@@ -111,7 +111,8 @@ def render(elements: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def overlapping(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs within a page whose boxes share an area; columns of the right side but the keys begin with other_."""
+    """Pairs within a page whose boxes share an area, missing ones none; columns of the right side but the keys begin with other_."""
+    left, right = left.where("box is not null"), right.where("box is not null")
     right = right.toDF(*[c if c in keys else f"other_{c}" for c in right.columns])
     shared = box_area(B.intersection(F.col("box"), F.col("other_box")))
     return left.join(right, keys).withColumn("area", shared).where("area > 0")
