@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gradus.functions import boxes as B
+from gradus.operators import formulas as M
 from gradus.operators import structures as S
 from gradus.plans import views as V
 from gradus.plans.registry import query, rounded
@@ -81,3 +82,47 @@ def det_chem_enrich(spark, sf_dir):
     """Structures of all pages but every seventh, which has its own."""
     c = catalogue(spark, sf_dir)
     return _shown(S.enrich(**c, known=c["blocks"].where("page % 7 = 0"), keys=["page"]))
+
+
+def sheets(spark, sf_dir):
+    """Pages of sixteen parts each as blocks: formulas between delimiters, numbers, prose; on every third page rows of plain mathematics and
+    numbers to their right. Every fifth page has formulas of its own."""
+    p = V.table(spark, sf_dir, "part")
+    i, page, size = (F.col("p_partkey") % 16).cast("int"), F.floor(F.col("p_partkey") / 16), F.col("p_size")
+    k = size % 8
+    number = F.concat(F.lit("("), F.col("p_partkey") % 1000, F.lit(")"))
+    written = (
+        F.when(k == 0, F.concat(F.lit("$$x_"), size % 3, F.lit(" = "), size % 5, F.lit("$$"))).when(k == 1, F.concat(F.lit("\\[ a + b_{"), size % 3, F.lit("} \\]")))
+        .when(k == 2, number).when(k == 3, F.col("p_name")).when(k == 4, F.lit("see $x$ here")).when(k == 5, F.concat(F.lit("$$a$$\n$$b_"), size % 3, F.lit("$$ (2)")))
+        .when(k == 6, F.concat(F.lit("\\( y = "), size % 4, F.lit(" \\), (3)"))).otherwise(F.lit("$$q$$"))
+    )
+    plain = F.element_at(F.array(F.concat(F.lit("x = "), size), number, F.concat(F.lit("2 + "), size), F.lit("слово другое третье"), F.col("p_brand"), number, F.lit("∑ y"), F.concat_ws(" and ", "p_name", "p_name", "p_name")), k + 1)
+    laid = page % 3 == 2
+    y = 0.05 + 0.028 * i + F.col("p_partkey") % 3 / 400.0
+    x = F.when(laid & k.isin(1, 5), 0.6 + i / 200.0).otherwise(0.1 + k / 15.0)
+    box = F.when(size % 11 > 0, B.box(x, y, x + F.when(laid & k.isin(1, 5), 0.05).otherwise(0.3), y + 0.02))
+    blocks = p.select(page.alias("page"), F.col("p_partkey").alias("element_id"), F.col("p_partkey").alias("place"), F.when(size % 3 > 0, (i * 7) % 16).alias("reading"), F.when(size % 4 > 0, i).alias("order_index"), F.when(laid, plain).otherwise(written).alias("text"), box.alias("box"))
+    own = blocks.where((F.col("page") % 5 == 0) & (F.col("place") % 8 == 0)).select("page", F.lit("x_{0}=0").alias("latex"), "box")
+    return blocks, own
+
+
+def _formulas(df):
+    b = F.col("box")
+    return rounded(df.select("page", *[c for c in ("kind", "serial", "latex", "text", "number", "wrapper", "order_index") if c in df.columns], *[b[n].alias(n) for n in ("x0", "y0", "x1", "y1")], F.concat_ws(",", F.col("source_ids").cast("array<string>")).alias("source_ids")))
+
+
+@query()
+def det_math_explicit(spark, sf_dir):
+    """Formulas between delimiters on pages of parts, and their numbered groups, within blocks and across."""
+    return _formulas(M.explicit(*sheets(spark, sf_dir), ["page"]))
+
+
+@query()
+def det_math_layout(spark, sf_dir):
+    """Formulas beside numbers on the pages of parts that have none of their own."""
+    return _formulas(M.beside_numbers(*sheets(spark, sf_dir), ["page"]))
+
+
+@query()
+def det_math_enrich(spark, sf_dir):
+    return _formulas(M.enrich(*sheets(spark, sf_dir), ["page"]))
