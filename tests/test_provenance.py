@@ -58,11 +58,13 @@ def test_equal_ranges_are_not_shuffled(spark):
         name = p.nodeName()
         if name == "AdaptiveSparkPlan":
             nodes.append(p.executedPlan())
-        elif hasattr(p, "plan") and name.startswith("ShuffleQueryStage"):
-            seen.append(p.plan().metrics().apply("shuffleRecordsWritten").value())
+        elif name.endswith("QueryStage"):
+            nodes.append(p.plan())
+        if name == "Exchange":
+            seen.append(p.metrics().apply("shuffleRecordsWritten").value())
         children = p.children()
         nodes += [children.apply(i) for i in range(children.size())]
-    assert seen and max(seen) <= 100, seen
+    assert len(seen) >= 2 and max(seen) <= 1000, seen  # ranges and the rows of one of them, not 10,000 rows
 
 
 def test_other_forms_are_scored_once(spark):
