@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import Counter
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
@@ -15,6 +15,11 @@ def let(body, **values: Column) -> Column:
     return F.element_at(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body), 1)
 
 
+def kept(df: DataFrame, **values: Column) -> DataFrame:
+    """df with columns that are worked out once a row: what is built on them names them, and the optimizer doesn't put their expressions in its place."""
+    return df.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in values.items()]))))
+
+
 def prf(tp: Column, predicted: Column, reference: Column) -> Column:
     """struct(precision, recall, f1) of counts; nothing predicted and nothing expected is perfect."""
 

@@ -71,8 +71,12 @@ def reading_order(reference: Column, predicted: Column) -> Column:
     return M.let(lambda v: F.when(v["x"].isNotNull(), F.struct(v["x"]["coverage"].alias("coverage"), v["x"]["pair_order"].alias("pair_order"), (v["x"]["coverage"] * v["x"]["pair_order"]).alias("score"))), x=both)
 
 
-def text_parts(reference: Column, predicted: Column, reference_order: Column, predicted_order: Column) -> dict[str, Column]:
-    a, b = T.norm_text(F.coalesce(reference, F.lit(""))), T.norm_text(F.coalesce(predicted, F.lit("")))
+def text_forms(reference: Column, predicted: Column) -> tuple[Column, Column]:
+    return T.norm_text(F.coalesce(reference, F.lit(""))), T.norm_text(F.coalesce(predicted, F.lit("")))
+
+
+def text_parts(reference: Column, predicted: Column, reference_order: Column, predicted_order: Column, forms: tuple[Column, Column] | None = None) -> dict[str, Column]:
+    a, b = forms or text_forms(reference, predicted)
     x, y = T.word_tokens(a), T.word_tokens(b)
     cer = M.error_rate(M.distance(a, b), F.length(a), F.length(b))
     wer = M.error_rate(M.token_distance(x, y), F.size(x), F.size(y))
@@ -81,17 +85,21 @@ def text_parts(reference: Column, predicted: Column, reference_order: Column, pr
     return parts | {"text_score": _score(parts, TEXT)}
 
 
-def math_parts(reference: Column, predicted: Column, reference_form: Column | None = None, predicted_form: Column | None = None) -> dict[str, Column]:
-    """Raw and normal forms, tokens and edits of LaTeX; a normal form that is given wins over the computed one."""
+def math_parts(reference: Column, predicted: Column, reference_form: Column | None = None, predicted_form: Column | None = None, worked_out: bool = False) -> dict[str, Column]:
+    """Raw and normal forms, tokens and edits of LaTeX; a normal form that is given wins over the computed one (worked_out: it is never missing)."""
     a, b = F.coalesce(reference, F.lit("")), F.coalesce(predicted, F.lit(""))
-    x = T.norm_latex(a) if reference_form is None else F.coalesce(reference_form, T.norm_latex(a))
-    y = T.norm_latex(b) if predicted_form is None else F.coalesce(predicted_form, T.norm_latex(b))
+    x = T.norm_latex(a) if reference_form is None else F.coalesce(reference_form, T.norm_latex(a)) if not worked_out else reference_form
+    y = T.norm_latex(b) if predicted_form is None else F.coalesce(predicted_form, T.norm_latex(b)) if not worked_out else predicted_form
     parts = {"raw_exact_match": _f(a == b), "normalized_exact_match": _f(x == y), **_prf("token", M.multiset_prf(T.latex_tokens(x), T.latex_tokens(y))), "edit_similarity": M.edit_similarity(x, y)}
     return parts | {"math_score": _score(parts, MATH)}
 
 
-def formula_parts(reference: Column, predicted: Column) -> dict[str, Column]:
-    a, b = T.norm_chem(F.coalesce(reference, F.lit(""))), T.norm_chem(F.coalesce(predicted, F.lit("")))
+def formula_forms(reference: Column, predicted: Column) -> tuple[Column, Column]:
+    return T.norm_chem(F.coalesce(reference, F.lit(""))), T.norm_chem(F.coalesce(predicted, F.lit("")))
+
+
+def formula_parts(reference: Column, predicted: Column, forms: tuple[Column, Column] | None = None) -> dict[str, Column]:
+    a, b = forms or formula_forms(reference, predicted)
     alike = F.when((a == "") & (b == ""), 1.0).otherwise(M.composition_similarity(T.composition(a), T.composition(b)))
     parts = {"normalized_exact_match": _f(a == b), **_prf("token", M.multiset_prf(T.chem_tokens(a), T.chem_tokens(b))), "edit_similarity": M.edit_similarity(a, b), "composition_similarity": alike}
     return parts | {"chem_linear_score": _score(parts, FORMULA)}
@@ -121,18 +129,22 @@ def detection_by_policy(context: Column, there: Column) -> tuple[Column, Column,
     return F.when(whole, detection(context["tp"], context["fp"], context["fn"])["f1"]).otherwise(_f(there)), whole, name
 
 
-def caption_parts(reference: Column, predicted: Column) -> dict[str, Column]:
+def caption_forms(reference: Column, predicted: Column) -> tuple[Column, Column]:
+    return T.norm_caption(reference), T.norm_caption(F.coalesce(predicted, F.lit("")))
+
+
+def caption_parts(reference: Column, predicted: Column, forms: tuple[Column, Column] | None = None) -> dict[str, Column]:
     """Tokens and edits of captions; all null where the reference has none."""
-    a, b = T.norm_caption(reference), T.norm_caption(F.coalesce(predicted, F.lit("")))
+    a, b = forms or caption_forms(reference, predicted)
     own = lambda c: F.when(reference.isNotNull(), c)
     f = M.multiset_prf(T.word_tokens(a), T.word_tokens(b))
     edit = M.edit_similarity(a, b)
     return {f"caption_{k}": own(v) for k, v in _prf("token", f).items()} | {"caption_edit_similarity": own(edit), "caption": own((f["f1"] + edit) / 2)}
 
 
-def image_parts(reference_box: Column, predicted_box: Column, reference_caption: Column, predicted_caption: Column, there: Column, extracted: Column, found: Column | None = None) -> dict[str, Column]:
+def image_parts(reference_box: Column, predicted_box: Column, reference_caption: Column, predicted_caption: Column, there: Column, extracted: Column, found: Column | None = None, forms: tuple[Column, Column] | None = None) -> dict[str, Column]:
     found = _f(there) if found is None else found
-    parts = {"detection": found, "iou": F.when(there, M.box_iou(reference_box, predicted_box)).otherwise(0.0), "extraction": _f(there & F.coalesce(extracted, F.lit(False))), **caption_parts(reference_caption, F.when(there, predicted_caption))}
+    parts = {"detection": found, "iou": F.when(there, M.box_iou(reference_box, predicted_box)).otherwise(0.0), "extraction": _f(there & F.coalesce(extracted, F.lit(False))), **caption_parts(reference_caption, F.when(there, predicted_caption), forms)}
     return parts | {"image_score": _score(parts, IMAGE)}
 
 
@@ -142,7 +154,7 @@ def elements(values: Column) -> Column:
     return F.filter(F.split(T.norm_text(joined), "\n\n"), lambda v: v != "")
 
 
-def diagram_parts(reference: Column, predicted: Column, there: Column, found: Column | None = None) -> dict[str, Column]:
+def diagram_parts(reference: Column, predicted: Column, there: Column, found: Column | None = None, forms: tuple[Column, Column] | None = None) -> dict[str, Column]:
     """Of payload structs: place, texts, caption, key elements and the number of subfigures."""
     none = F.array().cast("array<string>")
     own = lambda k: F.when(there, F.coalesce(predicted[k], none)).otherwise(none)
@@ -152,7 +164,7 @@ def diagram_parts(reference: Column, predicted: Column, there: Column, found: Co
     n, m = F.coalesce(reference["subfigures"], F.lit(0)), F.when(there, F.coalesce(predicted["subfigures"], F.lit(0))).otherwise(0)
     figures = F.when(n > 0, count_similarity(n, m))
     parts = {"detection": found, "iou": F.when(there, M.box_iou(reference["box"], predicted["box"])).otherwise(0.0), **_prf("diagram_text", M.multiset_prf(words(F.coalesce(reference["text_elements"], none)), words(own("text_elements"))))}
-    parts |= {**caption_parts(reference["caption"], F.when(there, predicted["caption"])), "element_recall": recall, "subfigure_score": figures, "key_elements": M.weighted_mean([(1.0, recall), (1.0, figures)])}
+    parts |= {**caption_parts(reference["caption"], F.when(there, predicted["caption"]), forms), "element_recall": recall, "subfigure_score": figures, "key_elements": M.weighted_mean([(1.0, recall), (1.0, figures)])}
     return parts | {"diagram_score": _score(parts, DIAGRAM)}
 
 
@@ -219,37 +231,45 @@ def evaluate_objects(matches: DataFrame) -> DataFrame:
 
     matches holds object_type, reference and prediction (PAYLOAD structs; null for what was not found) and context
     (CONTEXT). An object without prediction scores exactly 0 whatever its parts; these stay for diagnosis. An unknown
-    type fails. Kernels see null for rows of other types.
+    type fails. Kernels see null for rows of other types. Normal forms, then all metrics, are worked out once a row.
     """
     kind = F.col("object_type")
     known = F.create_map(*[F.lit(x) for k, (c, _) in KINDS.items() for x in (k, c)])[kind]
     r, p, context = F.col("reference"), F.col("prediction"), F.col("context")
     there = p.isNotNull()
     of = lambda types, x: F.when(kind.isin(*types), x)
-    r_, p_ = (lambda t, k: of(t, r[k])), (lambda t, k: of(t, p[k]))
+    pair = lambda t, k: (of([t], r[k]), of([t], p[k]))
+    latex = [T.norm_latex(F.coalesce(x, F.lit(""))) for x in pair("math_formula", "latex")]
+    made = {
+        "text": text_forms(*pair("text", "text")), "math": [F.coalesce(x, y) for x, y in zip(pair("math_formula", "normalized_latex"), latex)], "formula": formula_forms(*pair("chemical_formula", "formula")),
+        "image": caption_forms(*pair("image", "caption")), "diagram": caption_forms(*pair("diagram", "caption")),
+    }
+    held = M.kept(matches, **{f"_{k}{i}": of([t], x) for k, t in zip(made, ("text", "math_formula", "chemical_formula", "image", "diagram")) for i, x in enumerate(made[k])})
+    forms = {k: (F.col(f"_{k}0"), F.col(f"_{k}1")) for k in made}
     found, whole, policy = detection_by_policy(context, there)
-    formula = formula_parts(r_(["chemical_formula"], "formula"), p_(["chemical_formula"], "formula"))
+    formula = formula_parts(*pair("chemical_formula", "formula"), forms["formula"])
     formula |= {"detection": _f(there), "structured_extraction": F.when(there, formula["chem_linear_score"])}
-    image = image_parts(r_(["image"], "box"), p_(["image"], "box"), r_(["image"], "caption"), p_(["image"], "caption"), there, p["extracted"], found)
-    diagram = diagram_parts(of(["diagram"], r), of(["diagram"], p), there, found)
+    image = image_parts(*pair("image", "box"), *pair("image", "caption"), there, p["extracted"], found, forms["image"])
+    diagram = diagram_parts(of(["diagram"], r), of(["diagram"], p), there, found, forms["diagram"])
     for parts in (image, diagram):
         score = parts.pop("detection")
         parts |= {"detection_f1": F.when(whole, score), "detection_recall": F.when(~whole, score), "detection_score": score}
     by = {
-        "text": (text_parts(*(of(["text"], x) for x in (r["text"], p["text"], r["reading_order"], p["reading_order"]))), "text_score"),
+        "text": (text_parts(*(of(["text"], x) for x in (r["text"], p["text"], r["reading_order"], p["reading_order"])), forms["text"]), "text_score"),
         "table": (table_parts(*(of(["table"], x[k]) for x in (r, p) for k in ("rows", "columns", "cells"))), "table_score"),
-        "math_formula": (math_parts(*(of(["math_formula"], x) for x in (r["latex"], p["latex"], r["normalized_latex"], p["normalized_latex"]))), "math_score"),
+        "math_formula": (math_parts(*pair("math_formula", "latex"), *forms["math"], worked_out=True), "math_score"),
         "chemical_formula": (formula, "chem_linear_score"),
-        "chemical_structure": (structure_parts(r["box"], p["box"], r_(["chemical_structure"], "labels"), p_(["chemical_structure"], "labels"), there, p["extracted"]), "chem_structure_score"),
+        "chemical_structure": (structure_parts(r["box"], p["box"], *pair("chemical_structure", "labels"), there, p["extracted"]), "chem_structure_score"),
         "image": (image, "image_score"),
         "diagram": (diagram, "diagram_score"),
     }
-    metrics, score = None, None
-    for t, (parts, main) in by.items():
+    metrics = None
+    for t, (parts, _) in by.items():
         entry = F.create_map(*[x for k, v in parts.items() for x in (F.lit(k), v.cast("double"))])
         metrics = F.when(kind == t, entry) if metrics is None else metrics.when(kind == t, entry)
     keep = [c for c in matches.columns if c not in ("reference", "prediction", "context")]
-    out = matches.select(*keep, F.coalesce(known, F.raise_error(F.concat(F.lit("unknown object type: "), kind)).cast("string")).alias("category"), F.create_map(*[F.lit(x) for k, (_, s) in KINDS.items() if s for x in (k, s)])[kind].alias("subtype"), there.alias("matched"), F.when(kind.isin("image", "diagram"), policy).alias("policy"), metrics.alias("metrics"))
+    out = M.kept(held, metrics=metrics)
+    out = out.select(*keep, F.coalesce(known, F.raise_error(F.concat(F.lit("unknown object type: "), kind)).cast("string")).alias("category"), F.create_map(*[F.lit(x) for k, (_, s) in KINDS.items() if s for x in (k, s)])[kind].alias("subtype"), there.alias("matched"), F.when(kind.isin("image", "diagram"), policy).alias("policy"), "metrics")
     score = F.col("metrics")[F.create_map(*[F.lit(x) for t, (_, main) in by.items() for x in (t, main)])[kind]]
     return out.withColumn("object_score", F.when(F.col("matched"), 100.0 * score).otherwise(0.0))
 

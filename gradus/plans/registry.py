@@ -272,12 +272,13 @@ def set_prf(spark, sf_dir):
 @query()
 def text_metrics(spark, sf_dir):
     """0.40 CER, 0.30 WER, 0.10 edit similarity and 0.20 reading order where there is one, each as a score."""
-    t = V.text_pairs(spark, sf_dir).select("doc_id", T.norm_text(F.col("reference")).alias("r"), T.norm_text(F.col("predicted")).alias("p"))
-    t = t.withColumns({"rw": T.word_tokens(F.col("r")), "pw": T.word_tokens(F.col("p"))})
-    cer = 1 - M.error_rate(M.distance("r", "p"), F.length("r"), F.length("p"))
-    wer = 1 - M.error_rate(M.token_distance(F.col("rw"), F.col("pw")), F.size("rw"), F.size("pw"))
-    score = M.weighted_mean([(0.40, M.clamp01(cer)), (0.30, M.clamp01(wer)), (0.10, M.edit_similarity(F.col("r"), F.col("p"))), (0.20, F.lit(None).cast("double"))])
-    return rounded(t.select("doc_id", M.clamp01(cer).alias("cer"), M.clamp01(wer).alias("wer"), (100 * score).alias("score")))
+    t = M.kept(V.text_pairs(spark, sf_dir), r=T.norm_text(F.col("reference")), p=T.norm_text(F.col("predicted")))
+    t = M.kept(t, d=M.distance("r", "p"), rw=T.word_tokens(F.col("r")), pw=T.word_tokens(F.col("p")))
+    t = M.kept(t, cer=M.clamp01(1 - M.error_rate(F.col("d"), F.length("r"), F.length("p"))), wer=M.clamp01(1 - M.error_rate(M.token_distance(F.col("rw"), F.col("pw")), F.size("rw"), F.size("pw"))))
+    longest = F.greatest(F.length("r"), F.length("p"))
+    edit = F.when(longest > 0, 1 - F.col("d") / longest).otherwise(1.0)
+    score = M.weighted_mean([(0.40, F.col("cer")), (0.30, F.col("wer")), (0.10, edit), (0.20, F.lit(None).cast("double"))])
+    return rounded(t.select("doc_id", "cer", "wer", (100 * score).alias("score")))
 
 
 @query("""SELECT a.conv_id, count(*) AS n, round(coalesce(sum(CASE WHEN b.pos > a.pos THEN 1.0 ELSE 0.0 END) / nullif(count(b.turn), 0), 1.0), 6) AS pair_order FROM c a LEFT JOIN c b ON a.conv_id = b.conv_id AND a.turn < b.turn GROUP BY a.conv_id""",
