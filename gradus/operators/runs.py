@@ -100,3 +100,83 @@ def selected(df: DataFrame, column: str, wanted: list) -> DataFrame:
 
 def content_counts(elements: DataFrame, keys: list[str], kind: str) -> DataFrame:
     return elements.groupBy(*keys, kind).agg(F.count("*").alias("n"))
+
+
+#: What every pair must have written, and the scores that a report names.
+ARTIFACTS = ("standardized", "normalized", "matches", "object_evaluation")
+ISSUE = ("severity", "code", "tool", "document", "metric", "value")
+
+
+def validate_runs(tools: DataFrame, documents: DataFrame, manifests: DataFrame, pairs: DataFrame, results: DataFrame, reports: DataFrame, expected: DataFrame, categories: tuple[str, ...]) -> DataFrame:
+    """All broken rules of the runs of some tools over some documents, one row each: severity, code, tool, document, metric, value.
+
+    tools (tool) and documents (document) are what should be there, expected (document, object_id) the objects of each document.
+    manifests: tool, readable, pairs_readable, selected_tools, selected_documents; pairs: tool, document, status, object_count, matched,
+    missing, artifacts (array of names), version, raw_files, std_readable, std_document, std_tool, std_pages, evaluation_readable; results: tool, document,
+    object_id, score, metrics (map); reports: tool, score_name, score. A tool without a manifest that can be read is looked at no further, nor is a pair
+    that is missing or failed. Object ids are compared as sets, by anti-joins both ways; every other rule is a filter or a count.
+    """
+    none = F.lit(None)
+
+    def issue(df: DataFrame, code: str, metric=none, value=none, severity: str = "error") -> DataFrame:
+        document = F.col("document") if "document" in df.columns else none
+        return df.select(F.lit(severity).alias("severity"), F.lit(code).alias("code"), "tool", document.cast("long").alias("document"), metric.cast("string").alias("metric"), value.cast("double").alias("value"))
+
+    bad = lambda c: ~F.coalesce(finite(c) & c.between(0, 100), F.lit(False))
+    read = manifests.where("readable")
+    n_documents = documents.agg(F.array_sort(F.collect_list("document"))).first()[0]  # as many as the benchmark's plan names
+    grid = read.select("tool", F.explode(F.lit(n_documents)).alias("document"))
+    listed = pairs.join(read.where("pairs_readable").select("tool"), "tool", "left_semi")
+    there = listed.join(grid, ["tool", "document"], "left_semi")
+    ok = there.where("status = 'success'")
+    want = expected.groupBy("document").agg(F.count("*").alias("wanted"))
+    sized = ok.join(want, "document", "left").withColumn("wanted", F.coalesce("wanted", F.lit(0)))
+    lacking = there.where("status = 'success'").select("tool", "document", F.explode(F.array_except(F.lit(list(ARTIFACTS)), F.coalesce("artifacts", F.array().cast("array<string>")))).alias("name"))
+    std = ok.where("std_readable")
+    scored = results.join(ok.where("evaluation_readable").select("tool", "document"), ["tool", "document"], "left_semi")
+    due = ok.where("evaluation_readable").select("tool", "document").join(expected, "document")
+    apart = due.join(scored, ["tool", "document", "object_id"], "left_anti").select("tool", "document").unionByName(scored.join(expected, ["document", "object_id"], "left_anti").select("tool", "document")).distinct()
+    metrics = scored.select("tool", "document", F.explode("metrics").alias("metric", "value"))
+    named = reports.join(read.select("tool"), "tool", "left_semi")
+    of_tool = named.select("tool").distinct()
+    asked = of_tool.select("tool", F.explode(F.lit([f"{c}_score" for c in categories])).alias("score_name")).join(named, ["tool", "score_name"], "left")
+    overall = of_tool.join(named.where("score_name = 'overall_quality_score'").select("tool", "score"), "tool", "left")
+    total = scored.groupBy("tool").agg(F.count("*").alias("n")).where(F.col("n") != expected.count())
+    found = [
+        issue(tools.select("tool").join(manifests, "tool", "left_anti"), "missing_run_manifest"),
+        issue(manifests.where("not readable"), "invalid_run_manifest"),
+        issue(read.where(~F.coalesce(F.col("selected_tools") == F.array("tool"), F.lit(False))), "wrong_tool_in_run"),
+        issue(read.where(~F.coalesce(F.array_sort("selected_documents") == F.lit(n_documents), F.lit(False))), "incomplete_document_selection"),
+        issue(read.where("not pairs_readable"), "invalid_pair_results"),
+        issue(grid.join(listed, ["tool", "document"], "left_anti"), "missing_pair_result"),
+        issue(there.where("status <> 'success' or status is null"), "failed_run"),
+        issue(sized.where("object_count is null or object_count <> wanted"), "object_count_mismatch", value=F.col("object_count")),
+        issue(sized.where("coalesce(matched, 0) + coalesce(missing, 0) <> wanted"), "match_accounting_mismatch", value=F.coalesce("matched", F.lit(0)) + F.coalesce("missing", F.lit(0))),
+        issue(lacking, "missing_pair_artifact", F.col("name")),
+        issue(std.where("std_document <> document or std_tool <> tool"), "standardized_identity_mismatch"),
+        issue(std.where("std_pages = 0"), "empty_standardized_document"),
+        issue(ok.where("not std_readable"), "invalid_standardized_json"),
+        issue(apart, "object_id_set_mismatch"),
+        issue(scored.where(bad(F.col("score").cast("double"))), "impossible_object_score", value=F.col("score")),
+        issue(metrics.where(bad(F.col("value").cast("double"))), "impossible_metric_value", F.col("metric"), F.col("value")),
+        issue(ok.where("not evaluation_readable"), "invalid_object_evaluation"),
+        issue(ok.where("version is null or version = ''"), "missing_version_snapshot", severity="warning"),
+        issue(ok.where("coalesce(raw_files, 0) = 0"), "raw_output_missing"),
+        issue(asked.where("score is null"), "missing_category_score", F.col("score_name")),
+        issue(asked.where(F.col("score").isNotNull() & bad(F.col("score").cast("double"))), "impossible_category_score", F.col("score_name"), F.col("score")),
+        issue(overall.where("score is null"), "missing_overall_score"),
+        issue(overall.where(F.col("score").isNotNull() & bad(F.col("score").cast("double"))), "impossible_overall_score", value=F.col("score")),
+        issue(read.select("tool").join(of_tool, "tool", "left_anti"), "invalid_evaluation_report"),
+        issue(total, "tool_total_object_count_mismatch", value=F.col("n")),
+    ]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def run_status(tools: DataFrame, issues: DataFrame) -> DataFrame:
+    """tool, status (clean without errors, else corrupt), errors, warnings."""
+    n = issues.groupBy("tool").agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
+    out = tools.select("tool").join(n, "tool", "left").fillna(0, ["errors", "warnings"])
+    return out.select("tool", F.when(F.col("errors") == 0, "clean").otherwise("corrupt").alias("status"), "errors", "warnings")

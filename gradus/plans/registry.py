@@ -454,4 +454,4 @@ def set_missing_extra(spark, sf_dir):
     return d.join(lab, "doc_id", "left_anti").withColumn("state", F.lit("missing")).unionByName(lab.join(d, "doc_id", "left_anti").withColumn("state", F.lit("extra")))
 
 
-from gradus.plans import detectors, documents, layout, provenance, scored, standard, streams  # noqa: E402, F401  (they register their queries here)
+from gradus.plans import detectors, documents, integrity, layout, provenance, scored, standard, streams  # noqa: E402, F401  (they register their queries here)
