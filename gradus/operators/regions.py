@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gradus.functions import boxes as B
 from gradus.functions.metrics import box_ios, box_iou, edit_similarity
 from gradus.operators.matching import assignment
+from gradus.operators.stages import cut
 
 VISUAL = ("image", "diagram", "chemical_structure")
 
@@ -62,19 +63,20 @@ def match_document(truth: DataFrame, found: DataFrame, keys: list[str], least: f
 
     Text regions whose block leaves some of them out, or that have none, take the free blocks that lie in them (by half
     of the smaller box at least), each block in one region only: most overlap, then IoU, then the smallest gt_id. A
-    block that holds the whole region stays alone. found also has position (in the reading order) and order_index.
+    block that holds the whole region stays alone. Pairs, regions and owned blocks are worked out once. found also has position (in the reading order) and order_index.
     """
-    hits = assign_pairs(scored_pairs(truth, found, keys), keys)
+    hits = cut(assign_pairs(scored_pairs(truth, found, keys), keys))
     blocks = found.select(*keys, "cand_id", "box", "text", "position", "order_index")
     one = hits.join(blocks.select(*keys, "cand_id", F.col("box").alias("anchor"), "text"), [*keys, "cand_id"])
     regions = truth.where("object_type = 'text' and box is not null").select(*keys, "gt_id", F.col("box").alias("region")).join(one.select(*keys, "gt_id", F.col("cand_id").alias("anchor_id"), "anchor"), [*keys, "gt_id"], "left")
     whole = F.col("anchor_id").isNotNull() & (F.col("anchor").isNull() | B.contains(F.col("anchor"), F.col("region")) | (box_ios(F.col("region"), F.col("anchor")) < least))
-    regions = regions.where(~F.coalesce(whole, F.lit(False)))
+    regions = cut(regions.where(~F.coalesce(whole, F.lit(False))))
     free = blocks.where("object_type = 'text' and box is not null and trim(coalesce(text, '')) <> ''").join(hits.select(*keys, "cand_id"), [*keys, "cand_id"], "left_anti")
     pairs = free.join(regions, keys).withColumn("overlap", box_ios(F.col("region"), F.col("box"))).withColumn("iou", box_iou(F.col("region"), F.col("box"))).where(F.col("overlap") >= least)
     pairs = pairs.where(F.col("anchor_id").isNull() | (~B.contains(F.col("box"), F.col("region")) & B.extends(F.col("region"), F.col("anchor"), F.col("box"))))
     first = Window.partitionBy(*keys, "cand_id").orderBy(F.desc("overlap"), F.desc("iou"), "gt_id")
     owned = pairs.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*keys, "gt_id", "anchor_id", "cand_id", "box", "text", "position", "order_index", "overlap")
+    owned = cut(owned)
     grown = owned.select(*keys, "gt_id", "anchor_id").distinct()
     anchors = grown.where("anchor_id is not null").join(blocks.withColumnRenamed("cand_id", "anchor_id"), [*keys, "anchor_id"]).join(regions.select(*keys, "gt_id", "region"), [*keys, "gt_id"])
     anchors = anchors.select(*keys, "gt_id", "anchor_id", F.col("anchor_id").alias("cand_id"), "box", "text", "position", "order_index", box_ios(F.col("region"), F.col("box")).alias("overlap"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradus.operators.stages import cut
+
 
 def describe(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     q = lambda p: F.percentile(value, F.lit(p))
@@ -20,9 +22,19 @@ def variance_components(df: DataFrame, keys: list[str], group: str, value: str)
     return out.select(*keys, "n", "ss_total", "ss_between", "ss_within", F.when(F.col("ss_total") > 1e-12, F.col("ss_between") / F.col("ss_total")).alias("between_share"), F.try_divide("ss_total", F.col("n") - 1).alias("sample_variance"))
 
 
-def average_rank(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    own, peers = Window.partitionBy(*keys).orderBy(value), Window.partitionBy(*keys, value)
-    return df.withColumn(name, F.rank().over(own) + (F.count("*").over(peers) - 1) / 2)
+def average_rank(df: DataFrame, keys: list[str], value: str, name: str, ranges: int = 64) -> DataFrame:
+    """Tie-averaged ranks within keys. Values are counted first; the counts of ranges of values are summed up by key, so a task
+    sorts the distinct values of a range, not all rows of a key."""
+    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_m"))
+    bounds = counts.groupBy(*keys).agg(F.percentile_approx(F.col(value).cast("double"), F.lit([k / ranges for k in range(1, ranges)]), F.lit(1000)).alias("_bounds"))
+    part = F.size(F.filter(F.coalesce("_bounds", F.array().cast("array<double>")), lambda b: b < F.col(value).cast("double")))
+    placed = cut(counts.join(bounds, keys).withColumn("_part", part).drop("_bounds"))
+    below = placed.groupBy(*keys, "_part").agg(F.sum("_m").alias("_in"))
+    below = below.withColumn("_below", F.coalesce(F.sum("_in").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_in")
+    own = Window.partitionBy(*keys, "_part").orderBy(value)
+    ranks = placed.join(below, [*keys, "_part"]).withColumn(name, F.col("_below") + F.coalesce(F.sum("_m").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + (F.col("_m") + 1) / 2)
+    same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in (*keys, value)]
+    return df.join(ranks.select(*[F.col(k).alias(f"_r_{k}") for k in (*keys, value)], name), same).drop(*[f"_r_{k}" for k in (*keys, value)])
 
 
 def spearman(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
@@ -74,9 +86,12 @@ def paired_bootstrap(df: DataFrame, keys: list[str], order: str, left: str, righ
 
 
 def macro_of(objects: DataFrame) -> DataFrame:
-    """Macro score by tool in one formulation of its own, to check the hierarchy: each object weighs 1 / (categories x documents of its category x objects of its cell)."""
-    cell, docs = Window.partitionBy("tool", "category", "document"), Window.partitionBy("tool", "category")
-    rows = objects.withColumn("_cell", F.count("*").over(cell))
-    rows = rows.withColumn("_docs", F.sum(1 / F.col("_cell")).over(docs))
-    rows = rows.withColumn("_cats", F.sum(1 / (F.col("_cell") * F.col("_docs"))).over(Window.partitionBy("tool")))
-    return rows.groupBy("tool").agg(F.sum(F.col("score") / (F.col("_cell") * F.col("_docs") * F.col("_cats"))).alias("overall"))
+    """Macro score by tool in one formulation of its own, to check the hierarchy: each object weighs 1 / (categories x documents of its category x objects of its cell).
+
+    Weights come from counted cells, which are few, and meet the objects by their cell.
+    """
+    cells = objects.groupBy("tool", "category", "document").agg(F.count("*").alias("_cell"))
+    docs = cells.groupBy("tool", "category").agg(F.count("*").alias("_docs"))
+    cats = docs.groupBy("tool").agg(F.count("*").alias("_cats"))
+    weights = cells.join(docs, ["tool", "category"]).join(cats, "tool").withColumn("_w", 1 / (F.col("_cell") * F.col("_docs") * F.col("_cats")))
+    return objects.join(weights, ["tool", "category", "document"]).groupBy("tool").agg(F.sum(F.col("score") * F.col("_w")).alias("overall"))
