@@ -108,8 +108,10 @@ class Leaves(HTMLParser):
 
 def leaves(html: str) -> list:
     """Leaf blocks of a page. What follows an element without text that is never closed isn't lost: such an element counts
-    for nothing. Only an unclosed script or style runs to the end of the page, as in HTML."""
-    silent = SILENT
+    for nothing. Only an unclosed script or style runs to the end of the page, and a tag that the page's end cuts is no text, as in HTML."""
+    silent, last = SILENT, html.rfind("<")
+    if last >= 0 and ">" not in html[last:] and re.match("<[A-Za-z/!?]", html[last : last + 2]):
+        html = html[:last]
     while True:
         p = Leaves(silent)
         p.feed(html)
@@ -280,13 +282,28 @@ def sample_page(rng: np.random.Generator) -> tuple[str, list[str]]:
     return head + "".join(before[i] for i in order) + body + "".join(after) + "</body></html>" * (rng.random() < 0.9), main
 
 
+def bare_page(rng: np.random.Generator) -> tuple[str, list[str]]:
+    """A made-up page without any frame: a few of its paragraphs alone, as plain text, in one element, or in a body. All of it is main text."""
+    pool: list[str] = []
+    while not pool:
+        pool = sample_page(rng)[1]
+    some = pool[: int(rng.integers(1, 4))]
+    form = int(rng.integers(0, 5))
+    if form == 0:
+        return some[0], some[:1]
+    if form == 1:
+        return f"<p>{some[0]}</p>", some[:1]
+    body = "".join(f"<p>{t}</p>" for t in some) if form < 4 else f"<h1>{some[0]}</h1>" + "".join(f"<p>{t}</p>" for t in some[1:])
+    return (f"<html><body>{body}</body></html>" if form > 2 else body), some
+
+
 @lru_cache(1)
 def default_model(pages: int = 700, seed: int = 4) -> Labeller:
-    """Trained on made-up pages; a block is main text if it is one of its page's main blocks."""
+    """Trained on made-up pages, every tenth without a frame; a block is main text if it is one of its page's main blocks."""
     rng = np.random.default_rng(seed)
     data = []
-    for _ in range(pages):
-        html, main = sample_page(rng)
+    for k in range(pages):
+        html, main = bare_page(rng) if k % 10 == 9 else sample_page(rng)
         blocks, own = leaves(html), {" ".join(t.split()) for t in main}
         if blocks:
             data.append((vectors(blocks), np.array([b[2] in own for b in blocks], float)))

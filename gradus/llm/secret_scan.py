@@ -41,6 +41,11 @@ WORDS = (
 ).split()
 
 
+#: Syllables of any pronounceable word: how they begin, their vowels, how they end.
+ONSETS = "b c d f g h j k l m n p qu r s t v w x y z ch sh th ph ck br cr dr fr gr pr tr bl cl fl gl pl sl sc sk sm sn sp st sr sch str ll rr tt ss pf zw kn wh th tz cz sz rz w".split()
+VOWELS, ENDS = "a e i o u y a e i o ai ei ou au oe ie ia io".split(), ["", "", "", "", "", "n", "r", "s", "l", "m", "t", "d", "rd", "nd", "st", "ck", "ll", "ch", "pf", "ng", "tz"]
+
+
 class MarkovPair:
     """Second-order character chains of two classes, smoothed by shorter contexts; ratio(s) is the log-likelihood ratio of
     a string's distinct runs of three characters: a pattern that is only repeated says nothing new."""
@@ -77,7 +82,11 @@ def samples(n: int = 6000, seed: int = 11) -> tuple[list[str], list[str]]:
         if i % 8 == 0:
             s = "".join(np.array(list("0123456789"))[rng.integers(0, 10, rng.integers(8, 25))])
         else:
-            s = "".join(WORDS[j] for j in rng.integers(0, len(WORDS), rng.integers(2, 9)))
+            if i % 8 < 6:
+                parts = [WORDS[j] for j in rng.integers(0, len(WORDS), rng.integers(2, 9))]
+            else:
+                parts = [a[int(rng.integers(0, len(a)))] for _ in range(int(rng.integers(2, 9))) for a in (ONSETS, VOWELS, ENDS)]
+            s = "".join(parts)
             s = s.upper() if i % 8 == 1 else s.capitalize() if i % 8 < 4 else s
         ordinary.append(s)
     for _ in range(n):
@@ -107,7 +116,7 @@ class Scanner:
     Runs of fewer than `shortest` characters say too little; of the others the log-likelihood ratio alone decides, whatever they are made of.
     """
 
-    def __init__(self, model: MarkovPair | None = None, least: float = 16.0, shortest: int = 12):
+    def __init__(self, model: MarkovPair | None = None, least: float = 11.2, shortest: int = 12):
         self.model, self.least = model or default_model(), least
         self.runs = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % shortest)
 

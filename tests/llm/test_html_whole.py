@@ -61,3 +61,13 @@ def test_query_over_odd_pages(spark, tmp_path):
     long = next(r for r in got if r.page_id == 1)
     assert long.text.startswith("T\nSentence number 0") and long.text.count("\n") == 4000 and "Home" not in long.text
     assert html_blocks.extract(df.limit(0)).count() == 0
+
+
+def test_pages_without_a_frame():
+    model, rng = html_blocks.default_model(), np.random.default_rng(99)
+    sentence = "The committee met on Tuesday and agreed that the old bridge should be repaired before the winter."
+    for page in (sentence, f"<p>{sentence}</p>", f"<html><body><p>{sentence}</p></body></html>"):
+        assert html_blocks.main_texts(model, [page]) == [sentence]
+    made = [html_blocks.bare_page(rng) for _ in range(200)]
+    got = html_blocks.main_texts(model, [h for h, _ in made])
+    assert np.mean([g == "\n".join(" ".join(t.split()) for t in m) for g, (_, m) in zip(got, made)]) > 0.93

@@ -65,3 +65,9 @@ def test_scan_equals_brute_force(spark, table):
         assert hashlib.sha256(",".join(base).encode()).hexdigest() == r.base_sha256
     assert secret_scan.scan(df.limit(0)).count() == 0
     assert secret_scan.scrub(df.limit(0)).count() == 0
+
+
+def test_ordinary_long_words_are_left_alone():
+    scanner = secret_scan.Scanner()
+    for s in ("Ciezasrrjaos", "raezezosjaezque", "Llanfairpwllgwyngyll", "Donaudampfschifffahrtsgesellschaft", "w3schools-tutorial-page", "diechzuachpf", "osjaasrriemi"):
+        assert scanner.spans(s) == [], s
