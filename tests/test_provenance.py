@@ -2,7 +2,6 @@
 
 import hashlib
 
-import pytest
 from pyspark.sql import functions as F
 
 from gradus.operators import provenance as P
