@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gradus.functions import boxes as B
 from gradus.functions.metrics import box_ios, box_iou, edit_similarity
 from gradus.operators.matching import assignment
-from gradus.operators.stages import cut
+from gradus.operators.stages import cut, meet
 
 VISUAL = ("image", "diagram", "chemical_structure")
 
@@ -144,17 +144,18 @@ def cluster_rows(centres: np.ndarray, heights: np.ndarray, nearest: bool, back:
 
 
 def _rows(fragments: DataFrame, keys: list[str], **rule) -> DataFrame:
-    names = fragments.columns
-    flat = fragments.withColumn("_c", B.centre(F.col("box"))).withColumn("_h", F.col("box.y1") - F.col("box.y0")).withColumn("_x", F.col("box.x0"))
-
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["_c", "_x", "element_id"])
-        return page[["element_id"]].assign(line=cluster_rows(page["_c"].to_numpy(), page["_h"].to_numpy(), **rule), **{k: page[k] for k in keys})
-
-    kinds = dict(fragments.dtypes)
-    schema = ", ".join([f"element_id {kinds['element_id']}", "line long", *(f"{k} {kinds[k]}" for k in keys)])
-    lines = flat.select(*keys, "element_id", "_c", "_h", "_x").groupBy(*keys).applyInPandas(run, schema)
-    return fragments.join(lines, [*keys, "element_id"]).select(*names, "line")
+    """A page's fragments are one array and many pages a batch: small pages cost no call each."""
+    names, c, x = fragments.columns, B.centre(F.col("box")), F.col("box.x0")
+    order = F.struct(c.isNull().alias("a"), c.alias("c"), x.isNull().alias("b"), x.alias("x"), "element_id", (F.col("box.y1") - F.col("box.y0")).alias("h"))
+
+    @F.pandas_udf("array<long>")
+    def clustered(centres: pd.Series, heights: pd.Series) -> pd.Series:
+        return pd.Series([cluster_rows(np.asarray(a, float), np.asarray(b, float), **rule) for a, b in zip(centres, heights)], dtype=object)
+
+    pages = fragments.groupBy(*keys).agg(F.array_sort(F.collect_list(order)).alias("f"))
+    pages = pages.select(*keys, F.col("f.element_id").alias("element_id"), clustered("f.c", "f.h").alias("line"))
+    lines = pages.select(*keys, F.explode(F.arrays_zip("element_id", "line")).alias("z")).select(*keys, "z.*")
+    return meet(fragments, lines, [*keys, "element_id"]).select(*names, "line")
 
 
 def line_rows(fragments: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,6 +8,8 @@ source (the rule that found it) and what it rests on.
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,7 +20,7 @@ from gradus.functions import text as T
 from gradus.functions.detect import LATIN, LOOKALIKES, element_symbols
 from gradus.operators.documents import overlapping, stripped
 from gradus.operators.regions import gap_groups, line_rows
-from gradus.operators.stages import cut
+from gradus.operators.stages import cut, meet
 
 #: Words of headers in both languages, headers of names, labels that are read as such alone, what may stay in a
 #: label and how long it is, and what a number is written with.
@@ -52,7 +54,7 @@ def numeric(c: Column) -> Column:
 
 def label_like(text: str | None) -> bool:
     """Whether a text may label a part of a structure: a sign, a double bond of an element, or elements, not only C and H."""
-    kept = pd.Series([text or ""]).str.replace(LABEL_OTHER, "", regex=True)[0]
+    kept = re.sub(LABEL_OTHER, "", text or "")
     if not kept or len(kept) > LABEL_LENGTH:
         return False
     latin = kept.translate(str.maketrans(LOOKALIKES, LATIN))
@@ -62,7 +64,8 @@ def label_like(text: str | None) -> bool:
 
 @F.pandas_udf(BooleanType())
 def is_label(s: pd.Series) -> pd.Series:
-    return s.map(label_like).astype(bool)
+    known = {t: label_like(t) for t in set(s)}
+    return pd.Series([known[t] for t in s], dtype=bool)
 
 
 def _labelled(found: DataFrame, blocks: DataFrame, keys: list[str], first: Column | None = None) -> DataFrame:
@@ -74,7 +77,7 @@ def _labelled(found: DataFrame, blocks: DataFrame, keys: list[str], first: Colum
     met = overlapping(found.select(*keys, "_at", "box"), marks, keys).groupBy(*keys, "_at").agg(F.array_sort(F.collect_list(F.struct("other_place", stripped(F.col("other_text")).alias("text")))).alias("_met"))
     own = F.transform(F.coalesce("_met", F.array().cast("array<struct<other_place: long, text: string>>")), lambda m: m["text"])
     labels = own if first is None else F.concat(F.when(first != "", F.array(first)).otherwise(F.array().cast("array<string>")), own)
-    return found.join(met, [*keys, "_at"], "left").withColumn("labels", F.array_distinct(labels)).drop("_met")
+    return meet(found, met, [*keys, "_at"], "left").withColumn("labels", F.array_distinct(labels)).drop("_met")
 
 
 def in_tables(tables: DataFrame, cells: DataFrame, images: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
@@ -98,11 +101,11 @@ def in_tables(tables: DataFrame, cells: DataFrame, images: DataFrame, blocks: Da
         named_col.alias("named"), token(STRUCTURAL).alias("a"), token(FORMULA).alias("b"), F.coalesce(F.min(F.when(head, F.col("col"))), F.lit(0)).alias("name_col"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(head, F.struct("place", "text")))), lambda c: c["text"]), " ").alias("header"), F.max(F.startswith(folded(F.col("text")), F.lit(MARK))).alias("marked"),
     )
-    about = about.where(is_header(F.col("header")) | F.col("marked")).join(tables.select(*own, F.col("place").alias("table_place"), "rows", "columns", F.col("box").alias("table_box"), "html"), own)
+    about = meet(about.where(is_header(F.col("header")) | F.col("marked")), tables.select(*own, F.col("place").alias("table_place"), "rows", "columns", F.col("box").alias("table_box"), "html"), own)
     about = about.withColumn("structure_col", F.coalesce("named", F.when(F.col("a") == F.col("b"), F.col("a")), F.when(F.col("columns") >= 4, F.lit(1))))
 
     name, structure = F.col("col") == F.col("name_col"), F.col("col") == F.col("structure_col")
-    body = cells.where("row > 0").join(about, own)
+    body = meet(cells.where("row > 0"), about, own)
     one = lambda test: F.min(F.when(test, F.struct("place", "text", "box")))
     rows = body.groupBy(*own, "table_place", "rows", "columns", "table_box", "html", "structure_col", "row").agg(
         one(name).alias("name"), one(structure).alias("cell"), F.max(name & (stripped(F.col("text")) != "")).alias("starts"), F.max(F.startswith(folded(F.col("text")), F.lit(MARK))).alias("marked"),
@@ -125,7 +128,7 @@ def in_tables(tables: DataFrame, cells: DataFrame, images: DataFrame, blocks: Da
     rows = cut(rows)
     best = F.max(F.struct("area", (-F.col("other_place")).alias("later"), F.col("other_image_id").alias("image_id"), F.col("other_asset").alias("asset"), F.col("other_box").alias("box")))
     shown = overlapping(rows.select(*keys, "_at", F.col("grid").alias("box")), images.select(*keys, "image_id", "place", "asset", "box"), keys).groupBy(*keys, "_at").agg(best.alias("image"))
-    rows = rows.join(shown, [*keys, "_at"], "left")
+    rows = meet(rows, shown, [*keys, "_at"], "left")
     text = F.coalesce(stripped(F.col("cell.text")), F.lit(""))
     rows = rows.withColumn("box", F.coalesce(F.col("image.box"), F.when((text == "") | ~numeric(F.col("cell.text")), F.col("cell.box")), F.col("grid"))).where("box is not null")
     first = F.when((text != "") & ~numeric(F.col("cell.text")), F.regexp_replace(text, r"(?iU)^structure\s*:\s*", "")).otherwise("")
@@ -148,25 +151,27 @@ def headers(blocks: DataFrame, keys: list[str]) -> DataFrame:
     a, b = (told.where(has_any(F.col("f"), words)).select(*keys, F.col("place").alias(f"{n}_place"), F.col("box").alias(n), F.col("c").alias(f"{n}_c")) for n, words in (("a", STRUCTURAL), ("b", FORMULA)))
     near = (F.abs(F.col("a_c") - F.col("b_c")) <= 0.02) & (F.col("b.x0") >= F.col("a.x0")) & (F.col("b.x0") - F.col("a.x1") <= 0.08)
     around = B.box(F.least("a.x0", "b.x0"), F.least("a.y0", "b.y0"), F.greatest("a.x1", "b.x1"), F.greatest("a.y1", "b.y1"))
-    pairs = a.join(b, keys).where(near).select(*keys, "a_place", "b_place", around.alias("box"))
+    pairs = meet(a, b, keys).where(near).select(*keys, "a_place", "b_place", around.alias("box"))
     same = told.select(*keys, F.col("box").alias("other"), F.col("c").alias("other_c"), F.col("f").isin(*NAMES).alias("is_name"), F.col("place").alias("other_place"))
 
     def beside(found: DataFrame, by: list[str]) -> DataFrame:
         """Adds the first name header of the line and the left end of the next block to the right of the box."""
-        met = found.join(same, keys).where(F.abs(F.col("other_c") - B.centre(F.col("box"))) <= 0.02)
+        met = meet(found, same, keys).where(F.abs(F.col("other_c") - B.centre(F.col("box"))) <= 0.02)
         left = F.max(F.col("is_name") & (F.col("other.x1") <= F.col("box.x0")))
         return met.groupBy(*keys, *by, "box").agg(left.alias("named"), F.min(F.when(F.col("other.x0") > F.col("box.x1"), F.col("other.x0"))).alias("right"), F.min_by("other.x1", F.when(F.col("is_name"), F.col("other_place"))).alias("name_end"))
 
     paired = beside(pairs, ["a_place", "b_place"]).where("named and right is not null")
     paired = paired.groupBy(*keys).agg(F.max_by(F.struct("box", "right", "name_end"), F.struct("box.y0", -F.col("a_place"), -F.col("b_place"))).alias("h"))
+    paired = cut(paired)
     short = held.where((stripped(F.col("text")) != "") & (F.length(stripped(F.col("text"))) <= 40) & (F.col("box.x1") - F.col("box.x0") <= 0.25))
     lines = gap_groups(line_rows(short.select(*keys, "element_id", "text", "box"), keys), [*keys, "line"])
     parts = F.array_sort(F.collect_list(F.struct("box.x0", "element_id", stripped(F.col("text")).alias("text"))))
     lines = lines.groupBy(*keys, "line", "grp").agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text"), B.union("box").alias("box"), F.count("*").alias("n")).where((F.col("n") > 1) & is_header(F.col("text")))
     second = lines.select(*keys, F.struct(F.lit(1).alias("kind"), F.col("line").cast("long").alias("i"), F.col("grp").cast("long").alias("j"), "box").alias("o"))
     third = held.where(is_header(F.col("text"))).select(*keys, F.struct(F.lit(2).alias("kind"), F.col("place").cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "box").alias("o"))
-    rest = second.unionByName(third).groupBy(*keys).agg(F.min("o").alias("o")).join(paired.select(*keys), keys, "left_anti").select(*keys, "o.box")
-    rest = rest.join(beside(rest, []).drop("named"), [*keys, "box"], "left")
+    rest = second.unionByName(third).groupBy(*keys).agg(F.min("o").alias("o"))
+    rest = cut(meet(rest, paired.select(*keys), keys, "left_anti").select(*keys, "o.box"))
+    rest = meet(rest, beside(rest, []).drop("named"), [*keys, "box"], "left")
     return paired.select(*keys, "h.*").unionByName(rest.select(*keys, "box", "right", "name_end"))
 
 
@@ -186,18 +191,18 @@ def on_pages(images: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame
     top = cut(headers(blocks, keys).select(*keys, F.col("box").alias("h"), "right", "name_end"))
     h, b = F.col("h"), F.col("box")
     under = (b["y0"] >= h["y1"]) & (b["y0"] <= h["y1"] + 0.55) & _columns(h["x0"] - 0.18, h["x1"] + 0.18, b)
-    shown = images.where("box is not null").join(top, keys).where(under).withColumn("_at", F.struct("box.y0", "box.x0", "place"))
+    shown = meet(images.where("box is not null"), top, keys).where(under).withColumn("_at", F.struct("box.y0", "box.x0", "place"))
     order = F.row_number().over(Window.partitionBy(*keys).orderBy("_at")) - 1
     shown = _labelled(shown.select(*keys, "_at", "box", "asset", F.array("image_id").alias("from_ids")), blocks, keys).select(*keys, order.alias("number"), "box", "labels", "asset", F.lit("image").alias("source"), "from_ids")
     shown = cut(shown)
 
-    bare = top.where("name_end is not null and right is not null").join(shown.select(*keys).distinct(), keys, "left_anti")
+    bare = meet(top.where("name_end is not null and right is not null"), shown.select(*keys).distinct(), keys, "left_anti")
     left, right = (F.col("name_end") + h["x0"]) / 2, (h["x1"] + F.col("right")) / 2
-    held = blocks.where("box is not null").select(*keys, "element_id", "place", "text", "box").join(bare.withColumns({"low": left, "high": right}), keys).where(b["y0"] > h["y1"])
+    held = meet(blocks.where("box is not null").select(*keys, "element_id", "place", "text", "box"), bare.withColumns({"low": left, "high": right}), keys).where(b["y0"] > h["y1"])
     held = cut(held)
     labels = held.where((b["y0"] < h["y1"] + 0.55) & _columns(F.col("low"), F.col("high"), b) & is_label("text"))
     lowest = labels.groupBy(*keys).agg(F.max("box.y1").alias("lowest"))
-    names = held.join(lowest, keys).where((b["y0"] <= F.col("lowest")) & ((b["x0"] + b["x1"]) / 2 < F.col("low")) & (stripped(F.col("text")) != ""))
+    names = meet(held, lowest, keys).where((b["y0"] <= F.col("lowest")) & ((b["x0"] + b["x1"]) / 2 < F.col("low")) & (stripped(F.col("text")) != ""))
     down = Window.partitionBy(*keys).orderBy("box.y0", "box.x0", "place")
     # within a run of names the lowest end so far is the group's: a later group begins below it
     names = names.withColumn("_ends", F.max("box.y1").over(down.rowsBetween(Window.unboundedPreceding, -1)))
@@ -208,7 +213,7 @@ def on_pages(images: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame
     start = F.coalesce((F.lag("y1").over(by) + F.col("y0")) / 2, h["y1"])
     stop = F.coalesce((F.col("y1") + F.lead("y0").over(by)) / 2, F.col("lowest") + 0.012)
     bands = groups.select(*keys, "grp", "low", "high", "from_ids", start.alias("start"), stop.alias("stop"))
-    own = bands.join(labels.select(*keys, "place", "text", B.centre(b).alias("c")), keys).where((F.col("c") >= F.col("start")) & (F.col("c") < F.col("stop")))
+    own = meet(bands, labels.select(*keys, "place", "text", B.centre(b).alias("c")), keys).where((F.col("c") >= F.col("start")) & (F.col("c") < F.col("stop")))
     texts = F.array_sort(F.collect_list(F.struct("place", stripped(F.col("text")).alias("text"))))
     made = own.groupBy(*keys, "grp", "low", "high", "start", "stop", "from_ids").agg(texts.alias("t")).where("size(t) >= 2")
     unit = lambda v: F.greatest(F.lit(0.0), v)
@@ -221,7 +226,7 @@ def on_pages(images: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame
 def enrich(tables: DataFrame, cells: DataFrame, images: DataFrame, blocks: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
     """Structures of all pages that have none of their own (`known`, by keys): those in tables; for pages without, those of the layout."""
     own = cut(known.select(*keys).distinct())
-    parts = [x.join(own, keys, "left_anti") for x in (tables, cells, images, blocks)]
+    parts = [meet(x, own, keys, "left_anti") for x in (tables, cells, images, blocks)]
     found = cut(in_tables(*parts, keys).select(*keys, "number", "box", "labels", "asset", "source"))
-    rest = [x.join(found.select(*keys).distinct(), keys, "left_anti") for x in parts[2:]]
+    rest = [meet(x, found.select(*keys).distinct(), keys, "left_anti") for x in parts[2:]]
     return found.unionByName(on_pages(*rest, keys).select(*keys, "number", "box", "labels", "asset", "source"))

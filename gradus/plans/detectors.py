@@ -20,7 +20,7 @@ def catalogue(spark, sf_dir) -> dict:
     marked cells; images under a header; names and labels under a header. tables, cells, images, blocks, by page."""
     p = V.table(spark, sf_dir, "part")
     page, i = F.floor(F.col("p_partkey") / 6), (F.col("p_partkey") % 6).cast("int")
-    p = p.select(page.alias("page"), i.alias("i"), (page % 5).cast("int").alias("k"), "p_partkey", "p_name", "p_size", "p_retailprice", ((F.col("p_partkey") % 8) / 100.0).alias("shift"))
+    p = p.select(page.alias("page"), i.alias("i"), (page % 5).cast("int").alias("k"), "p_partkey", "p_name", "p_size", "p_retailprice", ((F.col("p_partkey") % 8) / 100.0).alias("shift")).repartition("page")
     k, size = F.col("k"), F.col("p_size")
     wide = F.when(k == 1, 4).otherwise(3)
     tables = p.where("k < 3").groupBy("page", "k").agg(F.min("p_partkey").alias("least")).select(
