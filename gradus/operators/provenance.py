@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradus.operators.stages import cut, meet
+
 
 @dataclass(frozen=True)
 class Stage:
@@ -27,9 +29,9 @@ def canonical(*columns: str) -> Column:
     return F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]), {"ignoreNullFields": "false"})
 
 
-def fingerprinted(inputs: DataFrame, keys: list[str], stages: list[Stage]) -> DataFrame:
-    """Adds fp_<stage>: a digest of the row's inputs and of the configs of all stages up to this one."""
-    before = F.sha2(canonical(*[c for c in inputs.columns if c not in keys]), 256)
+def fingerprinted(inputs: DataFrame, keys: list[str], stages: list[Stage], columns: list[str] | None = None) -> DataFrame:
+    """Adds fp_<stage>: a digest of the row's inputs (`columns`, or all) and of the configs of all stages up to this one."""
+    before = F.sha2(canonical(*[c for c in columns or inputs.columns if c not in keys]), 256)
     out = inputs
     for s in stages:
         out = out.withColumn(f"fp_{s.name}", F.sha2(F.concat_ws("\n", before, F.lit(s.name), F.lit(s.config)), 256))
@@ -45,18 +47,19 @@ def recompute(inputs: DataFrame, cached: DataFrame | None, keys: list[str], stag
     where they start, so a stage runs on the rows that need it alone; the earlier result is read once and joined by its keys.
     """
     marks, outputs = [f"fp_{s.name}" for s in stages], [c for s in stages for c in s.outputs]
-    now = fingerprinted(inputs, keys, stages)
     if cached is None:
-        cut = now.withColumn("_good", F.lit(0)).withColumns({f"_{c}": F.lit(None) for c in outputs})
-    else:
-        had = cached.select(*keys, *[F.col(m).alias(f"_{m}") for m in marks], *[F.col(c).alias(f"_{c}") for c in outputs])
-        fits = [F.coalesce(F.col(m) == F.col(f"_{m}"), F.lit(False)).cast("int") for m in marks]
+        met = inputs.withColumn("_good", F.lit(0)).withColumns({f"_{c}": F.lit(None) for c in outputs})
+    else:  # digests are compared as bytes and never stored: those of the inputs are made behind the join, and again for the rows that are asked for
+        had = cached.select(*keys, *[F.unhex(m).alias(f"_{m}") for m in marks], *[F.col(c).alias(f"_{c}") for c in outputs])
+        now = fingerprinted(meet(inputs, had, keys, "left"), keys, stages, inputs.columns)
+        fits = [F.coalesce(F.unhex(m) == F.col(f"_{m}"), F.lit(False)).cast("int") for m in marks]
         good = sum((reduce(lambda a, b: a * b, fits[: k + 1]) for k in range(len(marks))), F.lit(0))
-        cut = now.join(had, keys, "left").withColumn("_good", good).drop(*[f"_{m}" for m in marks])
+        met = cut(now.withColumn("_good", good).drop(*marks, *[f"_{m}" for m in marks]))
+    met = fingerprinted(met, keys, stages, inputs.columns)
     parts = []
     for start in range(len(stages) + 1):
         kept = [c for s in stages[:start] for c in s.outputs]
-        rows = cut.where(F.col("_good") == start).select(*inputs.columns, *marks, *[F.col(f"_{c}").alias(c) for c in kept])
+        rows = met.where(F.col("_good") == start).select(*inputs.columns, *marks, *[F.col(f"_{c}").alias(c) for c in kept])
         for s in stages[start:]:
             rows = s.compute(rows)
         parts.append(rows.select(*inputs.columns, *outputs, *marks, F.lit(len(stages) - start).alias("redone")))

@@ -21,7 +21,7 @@ def recomputed(spark, sf_dir):
     """An earlier result of all events but every tenth, some of them with another value then; now with another floor for all."""
     e = V.table(spark, sf_dir, "events").select("event_id", "value", "event_type")
     before = e.where("event_id % 10 > 0").withColumn("value", F.when(F.col("event_id") % 7 == 0, F.col("value") + 1).otherwise(F.col("value")))
-    cached = P.recompute(before, None, ["event_id"], pipeline()).drop("redone")
+    cached = P.recompute(before, None, ["event_id"], pipeline()).drop("redone", "value", "event_type")
     return P.recompute(e, cut(cached), ["event_id"], pipeline(floor="30"))
 
 

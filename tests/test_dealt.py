@@ -22,3 +22,10 @@ def test_kernels_of_parts_run_in_as_many_tasks_as_a_shuffle_has(spark):
     for name in ("formula_kernels", "diagram_metrics"):
         df = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
         assert df.select(F.spark_partition_id().alias("task")).distinct().count() > 1
+
+
+def test_recomputation_joins_the_earlier_result_once(spark):
+    from gradus.plans import provenance
+
+    plan = provenance.recomputed(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
