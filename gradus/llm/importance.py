@@ -42,14 +42,19 @@ def bucket_counts(docs: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def labelled(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """doc_id, text, good, bad of at most `rows` labelled documents, those with the smallest hashes of their ids.
+def kinds(labels: DataFrame) -> DataFrame:
+    """doc_id, good, bad of all labelled documents, once each.
 
     good: of quality and not toxic; bad: without quality; toxic text that is well written is neither.
     """
     quality, toxic = F.col("quality"), F.coalesce(F.col("toxic"), F.lit(0))
     some = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), ((quality > 0) & (toxic == 0)).alias("good"), (quality <= 0).alias("bad"))
-    some = some.groupBy("doc_id").agg(F.min("good").alias("good"), F.max("bad").alias("bad")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return some.groupBy("doc_id").agg(F.min("good").alias("good"), F.max("bad").alias("bad"))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
+    """doc_id, text, good, bad of at most `rows` labelled documents, those with the smallest hashes of their ids."""
+    some = kinds(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     return docs.join(F.broadcast(some), "doc_id")  # three columns of at most `rows` rows
 
 

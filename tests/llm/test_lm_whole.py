@@ -68,3 +68,33 @@ def test_nulls_long_texts_and_clashing_columns(spark):
     for r in out:
         assert (r.score is None) == (r.n_tokens == 0) and (r.score is None or math.isfinite(r.score))
     assert len({(r.target_loss, r.background_loss) for r in out if r.doc_id == 1}) == 1
+
+
+def test_target_counts_every_good_row(spark):
+    """More good rows than the 4000 that the target was once fitted on; words under the target's floor have no pairs, but count alone."""
+    rng = random.Random(5)
+    texts = {i: " ".join(f"w{min(rng.randrange(60), rng.randrange(60))}" for _ in range(6)) + f" new{i // 3} rare{i % 400} rare{i % 400}" for i in range(6000)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    mine = [i for i in texts if i % 4]
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in texts], "doc_id long, quality int, toxic int")
+    words, pairs, own, own_pairs = (collections.Counter() for _ in range(4))
+    for i, t in texts.items():
+        w = t.split()
+        words.update(w)
+        pairs.update(zip(w, w[1:]))
+        if i % 4:
+            own.update(w)
+            own_pairs.update(zip(w, w[1:]))
+    assert len(mine) > 4000
+    total, tokens, size = sum(words.values()), sum(own.values()), sum(n > 1 for n in words.values()) + 1
+    for most in (1 << 18, 1000):
+        least = max(2, -(-tokens // most))
+        floor = max(2, -(-total // 100))
+        listed = {k for k, n in words.items() if n >= floor or own[k] >= least}
+        rows = lm_score.cross_entropy_difference(df, labels, listed_words=100, frequent_words=20, own_words=most).collect()
+        assert len(rows) == len(texts)
+        for r in rows:
+            w = texts[r.doc_id].split()
+            p = [0.9 * (own[x] if own[x] > 1 else 0) / tokens + 0.1 * (words[x] + 1) / (total + size) for x in w]
+            p[1:] = [0.4 * q + (0.6 * own_pairs[a, b] / own[a] if own_pairs[a, b] > 1 and {a, b} <= listed else 0) for a, b, q in zip(w, w[1:], p[1:])]
+            assert abs(r.target_loss + sum(map(math.log, p)) / len(w)) < 1e-6
