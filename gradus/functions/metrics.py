@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,16 +98,163 @@ def edit_distance(a, b) -> int:
     return len(b) + up.bit_count() - down.bit_count()
 
 
+#: Blocks of 64 items that run side by side, unless one pair has more, and the entries of a pair's bit masks that are still held at once.
+LANES, MASKS = 8192, 1 << 22
+
+
+class _Pair:
+    """A pair of arrays of codes whose distance is being worked out: its bit vectors, a block of 64 items of the longer array
+    each (the first one's low bits are padded), and how far they are."""
+
+    def __init__(self, i: int, a: np.ndarray, b: np.ndarray):
+        names, own = np.unique(b, return_inverse=True)
+        self.i, self.blocks, self.width = i, -(-len(a) // 64), len(names) + 1
+        pad = 64 * self.blocks - len(a)
+        place = np.minimum(np.searchsorted(names, a), len(names) - 1)
+        hit = np.flatnonzero(names[place] == a)
+        row = hit + pad
+        self.masks = np.zeros(self.blocks * self.width, np.uint64)
+        np.add.at(self.masks, (row >> 6) * self.width + place[hit], np.uint64(1) << (row & 63).astype(np.uint64))
+        self.text = np.full(len(b) + 2 * self.blocks, len(names), np.int64)  # before and behind it, what no item equals
+        self.text[self.blocks : self.blocks + len(b)] = own
+        self.state = np.zeros((4, self.blocks), np.uint64)  # differences upwards and downwards, and those passed on
+        self.state[0] = 2**64 - 1
+        self.state[0, 0] <<= np.uint64(pad)
+        self.done, self.steps, self.distance = 0, len(b) + self.blocks - 1, len(a)
+
+
+def _run(pairs: list[_Pair], least: int) -> None:
+    """All pairs' next steps, until they end or fewer than `least` blocks still have steps; those with most steps come first.
+
+    Myers' bit vectors of all blocks at once: in each step a block takes the item of the second array that the block before
+    it took one step ago, with the difference that this one passed on.
+    """
+    one, top = np.uint64(1), np.uint64(63)
+    blocks, width = np.array([p.blocks for p in pairs]), np.array([p.width for p in pairs])
+    last = np.cumsum(blocks) - 1
+    first = last - blocks + 1
+    lanes = int(last[-1]) + 1
+    text, masks, state = np.concatenate([p.text for p in pairs]), np.concatenate([p.masks for p in pairs]), np.concatenate([p.state for p in pairs], axis=1)
+    offset = lambda parts: np.cumsum([0, *map(len, parts)])[:-1]
+    own = np.arange(lanes) - np.repeat(first, blocks)
+    base = np.repeat(offset([p.masks for p in pairs]), blocks) + np.repeat(width, blocks) * own
+    at = np.repeat(offset([p.text for p in pairs]) + blocks + [p.done for p in pairs], blocks) - own
+    code, work = np.empty(lanes, np.int64), np.empty((7, lanes), np.uint64)
+    change = np.zeros(len(pairs), np.int64)
+    ran = 0
+    for p in range(len(pairs) - 1, -1, -1):  # the first p + 1 pairs still run
+        n, begin, end, total = int(last[p]) + 1, first[: p + 1], last[: p + 1], change[: p + 1]
+        if n < least:
+            break
+        at_, base_, code_ = at[:n], base[:n], code[:n]
+        up, down, plus, minus = (x[:n] for x in state)
+        same, xv, xh, more, less, plus_out, minus_out = (x[:n] for x in work)
+        gap = minus_out.view(np.int64)
+        for _ in range(pairs[p].steps - pairs[p].done - ran):
+            plus[begin] = one
+            minus[begin] = 0
+            text.take(at_, out=code_, mode="clip")
+            np.add(code_, base_, out=code_)
+            masks.take(code_, out=same, mode="clip")
+            np.add(at_, 1, out=at_)
+            np.bitwise_or(same, down, out=xv)
+            np.bitwise_or(same, minus, out=same)
+            np.bitwise_and(same, up, out=xh)
+            np.add(xh, up, out=xh)
+            np.bitwise_xor(xh, up, out=xh)
+            np.bitwise_or(xh, same, out=xh)
+            np.bitwise_or(xh, up, out=more)
+            np.invert(more, out=more)
+            np.bitwise_or(more, down, out=more)
+            np.bitwise_and(up, xh, out=less)
+            np.right_shift(more, top, out=plus_out)
+            np.right_shift(less, top, out=minus_out)
+            np.left_shift(more, one, out=more)
+            np.bitwise_or(more, plus, out=more)
+            np.left_shift(less, one, out=less)
+            np.bitwise_or(less, minus, out=less)
+            np.bitwise_or(xv, more, out=up)
+            np.invert(up, out=up)
+            np.bitwise_or(up, less, out=up)
+            np.bitwise_and(more, xv, out=down)
+            plus[1:] = plus_out[:-1]
+            minus[1:] = minus_out[:-1]
+            np.subtract(plus_out, minus_out, out=minus_out)
+            total += gap[end]
+        ran = pairs[p].steps - pairs[p].done
+    for p, start, c in zip(pairs, first, change):
+        p.distance += int(c)
+        p.done = min(p.steps, p.done + ran)
+        p.state = state[:, start : start + p.blocks].copy()
+
+
+def edit_distances(pairs) -> list[int | None]:
+    """edit_distance of each pair of arrays of codes (null where one is missing); pairs of few steps and many blocks go one by one."""
+    out: list[int | None] = [None] * len(pairs)
+    todo = []
+    for i, (a, b) in enumerate(pairs):
+        if a is None or b is None:
+            continue
+        if len(a) < len(b):
+            a, b = b, a
+        apart = np.flatnonzero(a[: len(b)] != b)
+        start = int(apart[0]) if len(apart) else len(b)
+        a, b = a[start:], b[start:]
+        apart = np.flatnonzero(a[len(a) - len(b) :] != b)
+        end = len(b) - 1 - int(apart[-1]) if len(apart) else len(b)
+        a, b = a[: len(a) - end], b[: len(b) - end]
+        blocks = -(-len(a) // 64)
+        if not len(b):
+            out[i] = len(a)
+        elif 2 * len(b) < blocks or blocks * len(b) > MASKS and blocks * len(np.unique(b)) > MASKS:
+            out[i] = edit_distance(a.tolist(), b.tolist())
+        else:
+            todo.append((len(b) + blocks, i, a, b))
+    todo.sort(key=lambda x: x[0])  # longest last
+    live: list[_Pair] = []
+    while live or todo:
+        lanes, held = sum(p.blocks for p in live), sum(len(p.masks) for p in live)
+        while todo and lanes < LANES and held < MASKS:
+            live.append(_Pair(*todo.pop()[1:]))
+            lanes, held = lanes + live[-1].blocks, held + len(live[-1].masks)
+        live.sort(key=lambda p: p.done - p.steps)
+        _run(live, lanes * 3 // 4 if todo else 0)
+        for p in live:
+            if p.done == p.steps:
+                out[p.i] = p.distance
+        live = [p for p in live if p.done < p.steps]
+    return out
+
+
+def _points(s: str | None) -> np.ndarray | None:
+    """Code points of a text."""
+    return None if s is None else np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 @F.pandas_udf(IntegerType())
 def distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """Edit distance of two texts in characters (code points)."""
-    return pd.Series([None if x is None or y is None else edit_distance(x, y) for x, y in zip(a, b)], dtype="Int32")
+    return pd.Series(edit_distances([*zip(a.map(_points), b.map(_points))]), dtype="Int32")
 
 
 @F.pandas_udf(IntegerType())
 def token_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """Edit distance of token arrays."""
-    return pd.Series([None if x is None or y is None else edit_distance(list(x), list(y)) for x, y in zip(a, b)], dtype="Int32")
+
+    def codes(x, y):
+        if x is None or y is None:
+            return None, None
+        places: dict = {}
+        return tuple(np.array([places.setdefault(w, len(places)) for w in v], np.int64) for v in (x, y))
+
+    return pd.Series(edit_distances([codes(x, y) for x, y in zip(a, b)]), dtype="Int32")
+
+
+def farther(a: Column, b: Column, most: Column) -> Column:
+    """Whether two texts' edit distance is over a number; it isn't worked out where their lengths alone say so."""
+    apart = F.abs(F.length(a) - F.length(b)) > most
+    near = F.when(~apart, a), F.when(~apart, b)
+    return apart | (distance(*near) > most)
 
 
 def edit_similarity(a: Column, b: Column) -> Column:

@@ -7,6 +7,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gradus.functions import metrics as M
 from gradus.operators import matching, stats
@@ -35,6 +36,35 @@ def texts(spark, tmp_path_factory):
     return str(d), text
 
 
+def test_distances_side_by_side(spark):
+    """Many pairs at once, of several blocks, equal the distances of single pairs; where lengths alone are too far apart none is worked out."""
+    rng = random.Random(8)
+    text = lambda n, k: "".join(rng.choice("abcdé∑ж漢"[:k]) for _ in range(n))
+    pairs = [(text(rng.choice((0, 1, 63, 64, 65, 128, 300, 700)), rng.randrange(1, 9)), text(rng.randrange(300), rng.randrange(1, 9))) for _ in range(150)]
+    pairs += [(a, "".join(c for c in a if rng.random() < 0.97)) for a, _ in pairs] + [(None, "a"), ("a" * 9000, "ab")]
+    lanes, M.LANES = M.LANES, 40  # so pairs take the places of those that ended
+    try:
+        codes = [tuple(map(M._points, p)) for p in pairs]
+        want = [None if a is None else M.edit_distance(a, b) for a, b in pairs]
+        assert M.edit_distances(codes) == want
+    finally:
+        M.LANES = lanes
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    rows = df.select("i", M.distance("a", "b").alias("d"), M.farther(F.col("a"), F.col("b"), 0.05 * F.length("a")).alias("far")).collect()
+    assert {r.i: r.d for r in rows} == dict(enumerate(want))
+    assert all(r.far == (None if want[r.i] is None else want[r.i] > 0.05 * len(pairs[r.i][0])) for r in rows)
+
+
+def test_pairs_of_texts_are_dealt(spark, tmp_path):
+    spark.createDataFrame([(i, "x", f"t{i}") for i in range(40)], "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert views.text_pairs(spark, str(tmp_path)).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_edit_distance():
     rng = random.Random(1)
     for _ in range(600):
