@@ -29,3 +29,14 @@ def test_recomputation_joins_the_earlier_result_once(spark):
 
     plan = provenance.recomputed(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_structures_of_pages_broadcast_nothing(spark, tmp_path, monkeypatch):
+    """Each stage's plan and the last one's, tables' structures among them."""
+    from gradus.operators import structures as S
+
+    spark.range(60).selectExpr("id as p_partkey", "'a b' as p_name", "cast(id % 50 as int) as p_size", "1.0 as p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    plans, plan, cut = [], lambda df: df._jdf.queryExecution().sparkPlan().toString(), S.cut
+    monkeypatch.setattr(S, "cut", lambda df: plans.append(plan(df)) or cut(df))
+    plans.append(plan(detectors.det_chem_enrich(spark, str(tmp_path))))
+    assert len(plans) > 5 and any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
