@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def let(body, **values: Column) -> Column:
@@ -99,7 +100,7 @@ def edit_distance(a, b) -> int:
 
 
 #: Blocks of 64 items that run side by side, unless one pair has more, and the entries of a pair's bit masks that are still held at once.
-LANES, MASKS = 8192, 1 << 22
+LANES, MASKS = 4096, 1 << 22
 
 
 class _Pair:
@@ -250,6 +251,23 @@ def token_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(edit_distances([codes(x, y) for x, y in zip(a, b)]), dtype="Int32")
 
 
+#: Words between white space of any script.
+_WORD = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+@F.pandas_udf(StructType([StructField(k, IntegerType()) for k in ("characters", "words", "n", "m")]))
+def text_distances(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """distance of two texts, token_distance of their word_tokens, and how many words each has; a missing text has none."""
+    words, sizes = [], []
+    for x, y in zip(a, b):
+        places: dict = {}
+        both = [_WORD.findall(t or "") for t in (x, y)]
+        sizes.append([len(t) for t in both])
+        words.append([np.array([places.setdefault(w, len(places)) for w in t], np.int64) for t in both])
+    out = pd.DataFrame(sizes, columns=["n", "m"], dtype="Int32")
+    return out.assign(words=pd.array(edit_distances(words), dtype="Int32"), characters=pd.array(edit_distances([*zip(a.map(_points), b.map(_points))]), dtype="Int32"))[["characters", "words", "n", "m"]]
+
+
 def farther(a: Column, b: Column, most: Column) -> Column:
     """Whether two texts' edit distance is over a number; it isn't worked out where their lengths alone say so."""
     apart = F.abs(F.length(a) - F.length(b)) > most

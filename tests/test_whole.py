@@ -161,3 +161,21 @@ def test_bootstrap_query_makes_ten_thousand_draws(spark):
     own = np.array([v for c, _, v in cells if c == category])
     at = np.array([[int(hashlib.md5(f"{d}:{i}".encode()).hexdigest()[:8], 16) % len(own) for i in range(len(own))] for d in range(10_000)])
     assert (rows[category].ci_low, rows[category].ci_high) == pytest.approx(tuple(np.quantile(own[at].mean(axis=1), [0.025, 0.975])), abs=2e-6)
+
+
+def test_pairs_of_forms_are_those_of_texts(spark, tmp_path):
+    """Each text's form is made once; doubled, missing and lone ids and missing texts pair as in the join."""
+    from pyspark.sql import functions as F
+
+    from gradus.functions import metrics as M
+    from gradus.functions import text as T
+    from gradus.plans import views as V
+
+    rows = [(1, "a  b"), (2, None), (2, "c\x85d e"), (3, ""), (5, "x"), (None, "y"), (6, "x y z")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("lang", F.lit("en")).write.parquet(f"{tmp_path}/documents.parquet")
+    order = lambda df: sorted(map(tuple, df.collect()), key=str)
+    got = V.form_pairs(spark, str(tmp_path), T.norm_text)
+    want = V.text_pairs(spark, str(tmp_path)).select("doc_id", T.norm_text(F.col("reference")).alias("r"), T.norm_text(F.col("predicted")).alias("p"))
+    assert order(got) == order(want) and len(order(got)) == 5
+    words = T.word_tokens(F.col("r")), T.word_tokens(F.col("p"))
+    assert order(got.select(M.text_distances("r", "p").alias("x")).select("x.*")) == order(got.select(M.distance("r", "p"), M.token_distance(*words), *map(F.size, words)))
