@@ -136,6 +136,11 @@ def test_documents_as_layouts(spark):
     assert dict(got) == {k: v for k, v in want.items() if v} and len(got) > 100
 
 
+def test_layouts_hold_no_more_than_a_page_at_a_time(spark):
+    plan = plans.std_layout(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert not any(step in plan for step in ("Exchange", "Window", "Join", "Aggregate", "Sort "))
+
+
 def test_structures_in_images():
     f = L.image_structures
     text = "t\n| Name | ![Struct](https://a.b/?x=%5Cchem%7B*%7BC-O%7D-NH2%28NO2%293%7D) | ![n](http://a.b/c) |\n![z](https://q/%5Cchem{N=O-Cl+-Fe}rest)\n![u](https://q/%5Cchem{N)"
