@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradus.functions import boxes as B
+from gradus.functions import metrics as M
 
 #: The format's fields, and what fields of choice may hold.
 BOX = "struct<x_min: double, y_min: double, x_max: double, y_max: double>"
@@ -50,10 +51,11 @@ def parse(texts: DataFrame, text: str, name: str) -> DataFrame:
     """name, d (a DOCUMENT struct) and reasons (texts): what keeps a document from being one; empty for a good one.
 
     A text that isn't JSON, or holds a field of another type, is one of another form; its fields are null where they couldn't be read.
+    Each text is parsed once, however many rules and filters read what it holds.
     """
     bad = "_bad"
-    d = F.from_json(text, DOCUMENT + f", {bad} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad})
-    rows = texts.select(F.col(name).alias("name"), d.alias("d"))
+    form = DOCUMENT + f", {bad} string"
+    rows = M.kept(texts.select(F.col(name).alias("name"), F.col(text).alias("_text")), d=F.from_json("_text", form, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad})).drop("_text")
     choice = lambda k, e: ~e[CHOICES[k][0]].isin(*CHOICES[k][1]) if k in CHOICES else F.lit(False)
     cell = lambda c: (c["row_index"].isNull() | (c["row_index"] < 0) | c["column_index"].isNull() | (c["column_index"] < 0) | (F.coalesce(c["row_span"], F.lit(1)) < 1) | (F.coalesce(c["column_span"], F.lit(1)) < 1))
     rules = {
@@ -67,7 +69,7 @@ def parse(texts: DataFrame, text: str, name: str) -> DataFrame:
         "a cell without place": _any(F.col("d.pages"), lambda p: _any(p["tables"], lambda t: _any(t["cells"], cell))),
     }
     reasons = F.filter(F.array(*[F.when(test, F.lit(why)) for why, test in rules.items()]), lambda r: r.isNotNull())
-    return rows.select("name", "d", reasons.alias("reasons"))
+    return M.kept(rows, reasons=reasons).select("name", "d", "reasons")
 
 
 def read_standardized(spark: SparkSession, path: str) -> DataFrame:

@@ -56,6 +56,12 @@ def test_bad_documents_are_set_aside(spark, tmp_path):
     assert [tuple(r)[1:4] for r in S.pages(S.good(parsed)).distinct().collect()] == [(1, 10.0, 20.0)]
 
 
+def test_a_text_is_parsed_once(spark):
+    """Once for the reasons and once for the elements, though rules and filters read it many times."""
+    plan = plans.src_std(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 2
+
+
 def plain(blocks):
     """(kept, parent) of each block by the rules of `hierarchy`."""
     tidy = lambda t: " ".join(str(t or "").split())
