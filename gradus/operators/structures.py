@@ -48,6 +48,11 @@ def is_header(c: Column) -> Column:
     return F.greatest(*[F.contains(f, F.lit(a)) & F.contains(f, F.lit(b)) for a, b in HEADERS])
 
 
+def marked(c: Column) -> Column:
+    """Whether a text begins with the mark of structures; white space is only looked at where the mark is, as it holds none."""
+    return F.contains(F.lower(c), F.lit(MARK)) & F.startswith(folded(c), F.lit(MARK))
+
+
 def numeric(c: Column) -> Column:
     return F.coalesce(c.rlike(NUMERIC), F.lit(False))
 
@@ -91,7 +96,8 @@ def in_tables(tables: DataFrame, cells: DataFrame, images: DataFrame, blocks: Da
     else the part of the grid itself; without any it isn't a structure. Labels are the cell's text, if no number, and the
     blocks in the box that look like labels.
 
-    Cells are grouped by table and row and records are windows over a table; only boxes of one page meet.
+    Cells are grouped by table and row and records are windows over a table; what a table says of itself is joined to its records,
+    not sorted with its cells. Only boxes of one page meet.
     """
     own = [*keys, "table_id"]
     head = F.col("row") == 0
@@ -99,22 +105,23 @@ def in_tables(tables: DataFrame, cells: DataFrame, images: DataFrame, blocks: Da
     named_col = F.min_by("col", F.when(head & is_header(F.col("text")), F.col("place")))
     about = cells.groupBy(*own).agg(
         named_col.alias("named"), token(STRUCTURAL).alias("a"), token(FORMULA).alias("b"), F.coalesce(F.min(F.when(head, F.col("col"))), F.lit(0)).alias("name_col"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(head, F.struct("place", "text")))), lambda c: c["text"]), " ").alias("header"), F.max(F.startswith(folded(F.col("text")), F.lit(MARK))).alias("marked"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(head, F.struct("place", "text")))), lambda c: c["text"]), " ").alias("header"), F.max(marked(F.col("text"))).alias("marked"),
     )
-    about = meet(about.where(is_header(F.col("header")) | F.col("marked")), tables.select(*own, F.col("place").alias("table_place"), "rows", "columns", F.col("box").alias("table_box"), "html"), own)
+    about = meet(about.where(is_header(F.col("header")) | F.col("marked")), tables.select(*own, "columns"), own)
     about = about.withColumn("structure_col", F.coalesce("named", F.when(F.col("a") == F.col("b"), F.col("a")), F.when(F.col("columns") >= 4, F.lit(1))))
 
     name, structure = F.col("col") == F.col("name_col"), F.col("col") == F.col("structure_col")
-    body = meet(cells.where("row > 0"), about, own)
+    body = meet(cells.where("row > 0"), about.select(*own, "name_col", "structure_col"), own)
     one = lambda test: F.min(F.when(test, F.struct("place", "text", "box")))
-    rows = body.groupBy(*own, "table_place", "rows", "columns", "table_box", "html", "structure_col", "row").agg(
-        one(name).alias("name"), one(structure).alias("cell"), F.max(name & (stripped(F.col("text")) != "")).alias("starts"), F.max(F.startswith(folded(F.col("text")), F.lit(MARK))).alias("marked"),
+    rows = body.groupBy(*own, "structure_col", "row").agg(
+        one(name).alias("name"), one(structure).alias("cell"), F.max(name & (stripped(F.col("text")) != "")).alias("starts"), F.max(marked(F.col("text"))).alias("marked"),
         F.max(F.when(name, F.col("box.x1"))).alias("left"), F.min(F.when(numeric(F.col("text")), F.col("box.x0"))).alias("right"),
     )
     whole = Window.partitionBy(*own)
     rows = rows.withColumn("right", F.min("right").over(whole)).withColumn("starts", F.when(F.max("starts").over(whole), F.col("starts")).otherwise(F.col("marked"))).where("starts")
     order = whole.orderBy("row")
-    rows = rows.withColumn("left", F.max("left").over(whole)).withColumn("until", F.coalesce(F.lead("row").over(order), F.col("rows"))).withColumn("item", F.row_number().over(order) - 1)
+    rows = rows.withColumn("left", F.max("left").over(whole)).withColumn("next", F.lead("row").over(order)).withColumn("item", F.row_number().over(order) - 1)
+    rows = meet(rows, tables.select(*own, F.col("place").alias("table_place"), "rows", "columns", F.col("box").alias("table_box"), "html"), own).withColumn("until", F.coalesce("next", "rows"))
 
     t, col, wide = F.col("table_box"), F.col("structure_col"), F.when(F.col("structure_col").isNull(), F.greatest("columns", F.lit(4))).otherwise(F.col("columns"))
     x0 = F.when(col.isNull(), F.col("left")).otherwise(t["x0"] + (t["x1"] - t["x0"]) * col / wide)

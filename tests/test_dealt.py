@@ -40,3 +40,28 @@ def test_structures_of_pages_broadcast_nothing(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(S, "cut", lambda df: plans.append(plan(df)) or cut(df))
     plans.append(plan(detectors.det_chem_enrich(spark, str(tmp_path))))
     assert len(plans) > 5 and any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+def _parts(spark, path):
+    spark.range(60).selectExpr("id as p_partkey", "'a b' as p_name", "cast(id % 50 as int) as p_size", "1.0 as p_retailprice").write.parquet(f"{path}/part.parquet")
+    return detectors.catalogue(spark, str(path))
+
+
+def test_cells_are_grouped_without_what_their_table_says(spark, tmp_path, monkeypatch):
+    from gradus.operators import structures as S
+
+    plans, cut = [], S.cut
+    monkeypatch.setattr(S, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    assert S.in_tables(**_parts(spark, tmp_path), keys=["page"]).count() > 0
+    grouped = [line for line in plans[0].splitlines() if "Aggregate [" in line and "row#" in line.split("],")[0]]
+    assert grouped and not any("html" in line or "table_box" in line for line in grouped)
+
+
+def test_marks_of_structures(spark):
+    from pyspark.sql import functions as F
+
+    from gradus.operators import structures as S
+
+    texts = ["Structure: R", "  STRUCTURE:", "structure : R", "the structure: R", "structure\n:", "", None, "x"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(S.marked(F.col("t")).alias("m"), F.startswith(S.folded(F.col("t")), F.lit(S.MARK)).alias("w")).collect()
+    assert [r.m for r in got] == [r.w for r in got] == [True, True, False, False, False, False, None, False]
