@@ -235,5 +235,5 @@ def enrich(tables: DataFrame, cells: DataFrame, images: DataFrame, blocks: DataF
     own = cut(known.select(*keys).distinct())
     parts = [meet(x, own, keys, "left_anti") for x in (tables, cells, images, blocks)]
     found = cut(in_tables(*parts, keys).select(*keys, "number", "box", "labels", "asset", "source"))
-    rest = [meet(x, found.select(*keys).distinct(), keys, "left_anti") for x in parts[2:]]
-    return found.unionByName(on_pages(*rest, keys).select(*keys, "number", "box", "labels", "asset", "source"))
+    images, blocks = (meet(x, found.select(*keys).distinct(), keys, "left_anti") for x in parts[2:])
+    return found.unionByName(on_pages(images, cut(blocks), keys).select(*keys, "number", "box", "labels", "asset", "source"))

@@ -57,6 +57,16 @@ def test_cells_are_grouped_without_what_their_table_says(spark, tmp_path, monkey
     assert grouped and not any("html" in line or "table_box" in line for line in grouped)
 
 
+def test_blocks_of_pages_without_tables_are_worked_out_once(spark, tmp_path, monkeypatch):
+    from gradus.operators import structures as S
+
+    c, given, on_pages = _parts(spark, tmp_path), [], S.on_pages
+    monkeypatch.setattr(S, "on_pages", lambda images, blocks, keys: given.append(blocks) or on_pages(images, blocks, keys))
+    assert S.enrich(**c, known=c["blocks"].where("page % 7 = 0"), keys=["page"]).count() > 0
+    plan = given[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Relation" not in plan and "Join" not in plan
+
+
 def test_marks_of_structures(spark):
     from pyspark.sql import functions as F
 
