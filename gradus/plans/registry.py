@@ -220,7 +220,7 @@ def clean_dataset(spark, sf_dir):
 
 @query("SELECT page, gt_id, cand_id, round(iou, 6) AS score FROM s WHERE iou >= 0.1 - 1e-12", V.BOXES)
 def pair_score(spark, sf_dir):
-    return rounded(matching.pair_scores(*V.boxes(spark, sf_dir), ["page"]))
+    return matching.pair_scores(*V.boxes(spark, sf_dir), ["page"], digits=6)
 
 
 @query("SELECT page, gt_id, cand_id, round(ios, 6) AS overlap FROM (SELECT *, row_number() OVER (PARTITION BY cand_id ORDER BY ios DESC, iou DESC, gt_id) AS n FROM (SELECT page, gt_id, cand_id, round(ios, 9) AS ios, round(iou, 9) AS iou FROM s) WHERE ios >= 0.5) WHERE n = 1", V.BOXES)
